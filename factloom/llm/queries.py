@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.mixing import mix
 from factloom.llm.packing import pack
+from factloom.llm.quality_crf import quality
 from factloom.llm.token_store import read_store, write_store
+from factloom.llm.toxicity import toxicity
 
 
 def byte_bpe() -> str:
@@ -23,6 +25,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,8 +48,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op4_hilbert_packing, op5_token_store, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_kneser_ney_toxicity, op3_source_mixing, op4_hilbert_packing, op5_token_store, op9_exact_dedup, op10_crf_quality)}
 
 
 #: Runs of blanks, for the oracle's regular expressions.
