@@ -11,6 +11,7 @@ from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.mixing import mix
 from factloom.llm.packing import pack
 from factloom.llm.quality_crf import quality
+from factloom.llm.token_counts import token_counts
 from factloom.llm.token_store import read_store, write_store
 from factloom.llm.toxicity import toxicity
 
@@ -21,6 +22,12 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -44,6 +51,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, piece_vocabulary()).select("doc_id", "n_tokens", "token_score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -54,7 +66,7 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_kneser_ney_toxicity, op3_source_mixing, op4_hilbert_packing, op5_token_store, op9_exact_dedup, op10_crf_quality)}
+    return {f.__name__: f for f in (op2_kneser_ney_toxicity, op3_source_mixing, op4_hilbert_packing, op5_token_store, op7_viterbi_token_counts, op9_exact_dedup, op10_crf_quality)}
 
 
 #: Runs of blanks, for the oracle's regular expressions.
