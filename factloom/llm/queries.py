@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.ann import nearest
 from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.mixing import mix
 from factloom.llm.packing import pack
@@ -56,6 +57,10 @@ def op7_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, piece_vocabulary()).select("doc_id", "n_tokens", "token_score")
 
 
+def op8_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -66,7 +71,7 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_kneser_ney_toxicity, op3_source_mixing, op4_hilbert_packing, op5_token_store, op7_viterbi_token_counts, op9_exact_dedup, op10_crf_quality)}
+    return {f.__name__: f for f in (op2_kneser_ney_toxicity, op3_source_mixing, op4_hilbert_packing, op5_token_store, op7_viterbi_token_counts, op8_nn_descent_search, op9_exact_dedup, op10_crf_quality)}
 
 
 #: Runs of blanks, for the oracle's regular expressions.
