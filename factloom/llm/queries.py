@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.ann import nearest
+from factloom.llm.common import id_remainder
 from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.mixing import mix
 from factloom.llm.packing import pack
 from factloom.llm.quality_crf import quality
+from factloom.llm.suffix_tree import suffix_tree_scores
 from factloom.llm.token_counts import token_counts
 from factloom.llm.token_store import read_store, write_store
 from factloom.llm.toxicity import toxicity
@@ -33,6 +35,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", (id_remainder("doc_id", 10) == 0).alias("held_out"))
+    return suffix_tree_scores(docs, "held_out")
+
+
 def op2_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -71,7 +78,7 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_kneser_ney_toxicity, op3_source_mixing, op4_hilbert_packing, op5_token_store, op7_viterbi_token_counts, op8_nn_descent_search, op9_exact_dedup, op10_crf_quality)}
+    return {f.__name__: f for f in (op1_suffix_tree_scoring, op2_kneser_ney_toxicity, op3_source_mixing, op4_hilbert_packing, op5_token_store, op7_viterbi_token_counts, op8_nn_descent_search, op9_exact_dedup, op10_crf_quality)}
 
 
 #: Runs of blanks, for the oracle's regular expressions.
