@@ -11,6 +11,7 @@ from factloom.llm.ann import nearest
 from factloom.llm.common import id_remainder
 from factloom.llm.exact_dedup import exact_groups
 from factloom.llm.mixing import mix
+from factloom.llm.near_dedup import near_groups
 from factloom.llm.packing import pack
 from factloom.llm.quality_crf import quality
 from factloom.llm.suffix_tree import suffix_tree_scores
@@ -59,6 +60,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_icws_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_groups(docs).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op7_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, piece_vocabulary()).select("doc_id", "n_tokens", "token_score")
@@ -78,7 +84,7 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_tree_scoring, op2_kneser_ney_toxicity, op3_source_mixing, op4_hilbert_packing, op5_token_store, op7_viterbi_token_counts, op8_nn_descent_search, op9_exact_dedup, op10_crf_quality)}
+    return {f.__name__: f for f in (op1_suffix_tree_scoring, op2_kneser_ney_toxicity, op3_source_mixing, op4_hilbert_packing, op5_token_store, op6_icws_near_dedup, op7_viterbi_token_counts, op8_nn_descent_search, op9_exact_dedup, op10_crf_quality)}
 
 
 #: Runs of blanks, for the oracle's regular expressions.
