@@ -8,6 +8,7 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 U = np.uint64
+HASH_BLOCK = 1 << 20
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +45,25 @@ def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each span of ``body``; equal bytes have equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, U)
+    if len(body) > 2 * HASH_BLOCK and len(starts) > 1:  # the sums take 24 bytes for each of body's
+        order = None if np.all(starts[1:] >= starts[:-1]) else np.argsort(starts)
+        a, b = (starts, ends) if order is None else (starts[order], ends[order])
+        cuts = np.unique(np.searchsorted(a, np.arange(a[0], a[-1] + HASH_BLOCK, HASH_BLOCK)))
+        out = np.empty(len(a), U)
+        for i, j in zip(cuts, [*cuts[1:], len(a)], strict=True):
+            if j > i:
+                low, high = a[i], b[i:j].max()
+                part = body[low:high]
+                out[i:j] = _hashes(part, a[i:j] - low, b[i:j] - low)
+        if order is None:
+            return out
+        back = np.empty(len(a), U)
+        back[order] = out
+        return back
+    return _hashes(body, starts, ends)
+
+
+def _hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _powers(len(body) + 1)
     sums = np.empty(len(body) + 1, U)
     sums[0] = 0

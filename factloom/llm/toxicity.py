@@ -18,9 +18,9 @@ from factloom.llm.spans import LOWER, mixed64, span_hashes, text_bytes
 
 U = np.uint64
 #: Taken off the counts of pairs, and of words: a word seen less often in a class has the shared probability alone.
-DISCOUNT, RARE = 0.75, 2.0
+DISCOUNT, RARE = 0.75, 4.0
 #: A word with this log-ratio is strong evidence.
-STRONG, FEATURES = 3.5, 7
+STRONG, FEATURES = 5.5, 7
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 39]] = True
 
@@ -38,6 +38,9 @@ class Words(NamedTuple):
     whole: np.ndarray
     text: np.ndarray
 
+    def only(self, mask: np.ndarray) -> Words:
+        return Words(self.low, *(x[mask] for x in self[1:]))
+
     def stems(self, at: np.ndarray) -> np.ndarray:
         """Hashes of the beginnings of the words ``at``, a row for each length of :data:`STEMS`; a row
         repeats the word's own hash from where the word has ended."""
@@ -93,28 +96,31 @@ class KneserNey:
     stem none. Pairs seen once in all are not stored and leave their mass to P.
     """
 
-    def __init__(self, hashes: np.ndarray, text: np.ndarray, label: np.ndarray):
-        pair, before = _pairs(hashes[-1], text)
-        which = label[text]
+    def __init__(self, words: Words, label: np.ndarray):
+        pair, before = _pairs(words.whole, words.text)
+        which = label[words.text]
         distinct, first, again, total = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
-        in_class = [np.flatnonzero(which == c)[np.unique(pair[which == c], return_index=True)[1]] for c in (0, 1)]
-        parent = np.zeros(hashes.shape[1], np.int64)
-        parent_f = np.array([[max(1, len(x))] for x in in_class], np.float64)
-        self.levels = []
+        _, example, word = np.unique(words.whole, return_index=True, return_inverse=True)
+        word = word.reshape(-1)
+        word_f = []
+        for c in (0, 1):
+            mine = np.flatnonzero(which == c)
+            mine = mine[np.unique(pair[mine], return_index=True)[1]]
+            word_f.append(np.bincount(word[mine], minlength=len(example)).astype(np.float64))
+        del word
+        stems = words.stems(example)
+        parent, parent_f = np.zeros(len(example), np.int64), np.array([[max(1.0, f.sum())] for f in word_f])
+        self.levels: list[tuple] = []
         for k in range(len(STEMS)):
-            table, back = np.unique(hashes[k], return_inverse=True)
+            table, back = np.unique(stems[k], return_inverse=True)
             back = back.reshape(-1)
-            f = np.stack([np.bincount(back[x], minlength=len(table)) for x in in_class]).astype(np.float64)
+            f = np.stack([np.bincount(back, x, minlength=len(table)) for x in word_f])
             up = np.zeros(len(table), np.int64)
             up[back] = parent
             n_up = parent_f.shape[1]
             kept = np.maximum(f - RARE, 0)
-            if k:  # a word that ended above is its own only child
-                same = np.zeros(len(table), bool)
-                at, hit = _look(self.levels[-1][0], table)
-                same[hit] = True
-            else:
-                same = np.zeros(len(table), bool)
+            # a word that ended above is its own only child
+            same = _look(self.levels[-1][0], table)[1] if k else np.zeros(len(table), bool)
             share = 2 * f.min(axis=0) + 1
             shares = np.bincount(up, share, minlength=n_up) + 1
             left = np.stack([1 - np.bincount(up, kept[c], minlength=n_up) / np.maximum(parent_f[c], 1) for c in (0, 1)])
@@ -123,6 +129,7 @@ class KneserNey:
             log_p = np.where(same, 0.0, np.log(p))
             self.levels.append((table, log_p.astype(np.float32), np.log(left / shares).astype(np.float32)))
             parent, parent_f = back, f
+        del stems
         often = np.flatnonzero(total >= 2)
         by_class = np.stack([np.bincount(again.reshape(-1)[which == c], minlength=len(distinct)) for c in (0, 1)])[:, often].astype(np.float64)
         self.pairs = distinct[often]
@@ -176,7 +183,7 @@ def evidence(ratio: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 def fit_toxicity(rows: pd.DataFrame, sizes: dict[int, int]) -> dict:
     """Models from all the sample; the logistic over :func:`evidence` from models that did not see the text."""
     found = words(pa.array(rows["text"], pa.large_string()))
-    hashes, text = found.stems(np.arange(len(found.text))), found.text
+    text = found.text
     label = rows["label"].to_numpy()
     n = len(label)
     if len(set(label.tolist())) < 2:
@@ -189,15 +196,15 @@ def fit_toxicity(rows: pd.DataFrame, sizes: dict[int, int]) -> dict:
     x = np.zeros((n, FEATURES))
     for k in (0, 1):
         seen = (fold != k)[text] & taken[text]
-        model = KneserNey(hashes[:, seen], text[seen], label)
+        model = KneserNey(found.only(seen), label)
         own = fold[text] == k
-        part = Words(found.low, *(x[own] for x in found[1:]))
+        part = found.only(own)
         got = evidence(model.log_ratio(part), part.text, n)
         x[fold == k] = got[fold == k]
     sampled = np.bincount(label, minlength=2)
     weight = np.array([sizes.get(c, 0) / max(1, sampled[c]) for c in (0, 1)])[label]
     seen = taken[text]
-    return {"models": KneserNey(hashes[:, seen], text[seen], label), "scale": logistic(x, label.astype(float), weight / weight.mean(), 1e-4)}
+    return {"models": KneserNey(found.only(seen), label), "scale": logistic(x, label.astype(float), weight / weight.mean(), 1e-4)}
 
 
 def score_texts(model: dict | None, column: pa.Array) -> np.ndarray:
@@ -210,7 +217,7 @@ def score_texts(model: dict | None, column: pa.Array) -> np.ndarray:
     return sigmoid(evidence(model["models"].log_ratio(found), found.text, n) @ model["scale"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, threshold: float = 0.5) -> DataFrame:
     """``docs`` with score (0 to 1, higher: likelier toxic), predicted (1 from ``threshold`` on) and held_out.
 
     Fits on at most ``per_class`` documents of each label, drawn by hash from the rows that may be
