@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import BLANK, text_of
+from factloom.llm.common import BLANK, saved, text_of
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -59,9 +59,9 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     Rows that repeat the id of the kept row and have an equal text are dropped to one of them.
     """
     sha = F.sha2(F.regexp_replace(text_of(), BLANK, ""), 256)
-    kept = exact_groups(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("copies").alias("_copies"))
+    kept = saved(exact_groups(docs).where("kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("copies").alias("_copies")), "kept")
     hit = docs.withColumn("_s", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")))
-    once = hit.where("_copies = 1")
-    again = hit.where("_copies > 1").dropDuplicates(["_id", "_sha"])
-    return once.unionByName(again).select(*docs.columns)
+    if not kept.where("_copies > 1").isEmpty():
+        hit = hit.where("_copies = 1").unionByName(hit.where("_copies > 1").dropDuplicates(["_id", "_sha"]))
+    return hit.select(*docs.columns)
