@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from factloom.plans import catalog, graphs
+from factloom.plans import catalog, graphs, links
 from factloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalog", "graphs"]
+__all__ = ["QUERIES", "SQL", "catalog", "graphs", "links"]

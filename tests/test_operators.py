@@ -166,3 +166,27 @@ def test_streaming_ingest_drops_repeats(spark, tmp_path):
     assert got.count() == source.count() and got.select("event_id").distinct().count() == source.count()
     batch = ingest.windowed_counts(source.withColumn("ts", F.col("ts").cast("timestamp")))
     assert batch.agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_ref_targets(spark):
+    from factloom.operators import linking
+
+    files = spark.createDataFrame([("a/b.yaml",), ("a/c/D.yaml",), ("e.yaml",)], "path string")
+    refs = spark.createDataFrame([("a/b.yaml", x) for x in ("#/x", "c/d.yaml#/y", "../e.yaml", "/e.yaml", "./c/D.yaml", "https://h/e.yaml", "no.yaml", "c/../../e.yaml")], "source_path string, ref string")
+    got = {r.ref: (r.target, r.kind) for r in linking.ref_targets(refs, files).collect()}
+    assert got == {
+        "#/x": ("a/b.yaml", "local"), "c/d.yaml#/y": ("a/c/D.yaml", "resolved"), "../e.yaml": ("e.yaml", "resolved"), "/e.yaml": ("e.yaml", "resolved"),
+        "./c/D.yaml": ("a/c/D.yaml", "resolved"), "https://h/e.yaml": (None, "external"), "no.yaml": (None, "missing"), "c/../../e.yaml": ("e.yaml", "resolved")}
+
+
+def test_agreeing_and_archive(spark):
+    from factloom.operators import linking
+
+    facts = spark.createDataFrame([("r", 1, "x"), ("r", 1, "x"), ("s", 2, "y")], "repo string, k int, v string")
+    assert linking.agreeing(facts, ["k"]).count() == 2
+    with pytest.raises(ValueError):
+        linking.agreeing(facts.union(spark.createDataFrame([("r", 1, "z")], facts.schema)), ["k"])
+    links = spark.createDataFrame([("s", "r")], "repo string, target_repo string")
+    with pytest.raises(ValueError):
+        linking.without_repository({"f": facts}, links, "r")
+    assert linking.without_repository({"f": facts}, links, "s")["f"].count() == 2
