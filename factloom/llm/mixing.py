@@ -17,7 +17,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
 
     Sources by code point, null last, have the weights in turn. They share ``share`` times all words
     by weight; a target stops at ``most`` times its source's size and the excess is shared again by
-    weight until none is above. Sizes of 0 get the target 0.
+    weight until none is above. Sizes of 0 get the target 0. Targets are rounded to 6 places.
 
     Sources are ranked with a range sort; each resharing is one aggregate to a single row, and the
     rounds end when no further source is capped.
@@ -40,7 +40,7 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
             break
         n_capped, level = got["n"], (share * total - got["fixed"]) / got["free"]
     target = cap if level is None else F.least(cap, F.col("weight") * F.lit(float(level)))
-    out = ranked.withColumn("target", target.cast("double"))
+    out = ranked.withColumn("target", F.round(target.cast("double"), 6))
     return out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 
