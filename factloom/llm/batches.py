@@ -28,15 +28,17 @@ U = np.uint64
 BATCH_BYTES = 12_000_000
 
 
-def saved_by(df: DataFrame, name: str, key: str) -> DataFrame:
+def saved_by(df: DataFrame, name: str, key: str, paths: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder in hash buckets of ``key``: later groupings by it need no shuffle."""
     spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(partitions(spark), key).sortBy(key).saveAsTable(table)
+    table, path = f"{name}_{uuid.uuid4().hex}", new_path(spark, name)
+    if paths is not None:
+        paths.append(path)
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).sortBy(key).saveAsTable(table)
     return spark.table(table)
 
 
-def word_batches(docs: DataFrame, mark: str | None = None) -> DataFrame:
+def word_batches(docs: DataFrame, mark: str | None = None, paths: list[str] | None = None) -> DataFrame:
     """Batches of ``docs`` (doc_id, text, and the boolean column ``mark``), A-Z lower-cased.
 
     Columns: batch, uid (number of its first document; the others follow), n_words, doc_ids,
@@ -66,7 +68,7 @@ def word_batches(docs: DataFrame, mark: str | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), (F.col(mark) if mark else F.lit(True)).alias("mark"))
     schema = f"batch long, uid long, n_words long, doc_ids array<{kind}>, counts binary, marks binary, words binary, codes binary"
-    return saved_by(rows.mapInArrow(cut, schema), "word_batches", "batch")
+    return saved_by(rows.mapInArrow(cut, schema), "word_batches", "batch", paths)
 
 
 def read(raw: bytes, kind: str | type) -> np.ndarray:

@@ -26,13 +26,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def saved(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The path is added to ``paths``, for :func:`removed` once no plan reads it any more.
+    """
     path = new_path(df.sparkSession, name)
+    if paths is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
 def crc_of_id(doc_id: str | Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("binary"))
