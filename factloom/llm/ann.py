@@ -139,7 +139,7 @@ def _state(rows: pd.DataFrame, ef: int, width: int) -> pd.DataFrame:
     return rows.assign(next=open_ & (seen - before <= width))[["query", "other", "d", "visited", "next"]]
 
 
-def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, ef: int = 256, width: int = 32, most_steps: int = 60) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, ef: int = 512, width: int = 64, most_steps: int = 60) -> DataFrame:
     """Nodes (query, other, d) that a greedy search from ``starts`` (query, qv, other) meets, the ``ef`` nearest.
 
     Each step expands the ``width`` nearest nodes of every query that it has not visited among its
@@ -179,7 +179,7 @@ def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, ef: int = 256,
     return state.select("query", "other", "d")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 256, degree: int = 20, rounds: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 512, degree: int = 20, rounds: int = 5) -> DataFrame:
     """The ``k`` nearest found of each query row: query_id, rank, vec_id, score (Euclidean distance).
 
     Every usable row is indexed; equal vectors are one node of the graph, and of a node the ``k + 1``
