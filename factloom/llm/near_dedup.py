@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.batches import ASK, answer_counts, ask_counts, count_buckets, pack, read, unpack, word_batches
@@ -17,6 +17,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 8, 3
 #: Members that are held against one copy of their centre in a task group.
 GROUP = 64
+#: Centres of a bucket in a round are so many times those of the round before; shingles of a group held as one table.
+WIDER, TABLE = 16, 1 << 15
 #: Weights are whole powers of this, kept in two bytes.
 STEP = 1.005
 
@@ -103,7 +105,7 @@ def _weighed(row: pd.Series, got: pd.DataFrame, n_docs: int) -> tuple[np.ndarray
     return keys[code], doc, weigh(times, df[code], n_docs)
 
 
-def near_groups(docs: DataFrame, similar: float = SIMILAR, rounds: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The near-duplicate class of every document: doc_id, class_id, class_size, kept.
 
     Weighted Jaccard similarity of TF-IDF shingles of five words (A-Z lower-cased) of ``similar`` or
@@ -111,11 +113,12 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR, rounds: int = 4) -> D
     smallest doc_id and that document is kept. Document frequencies are counted over all documents.
 
     Samples of :func:`signatures` in 8 bands of 3 propose: a pair of similarity 0.8 shares a band
-    with probability 0.997. In each band's bucket one document is the centre and every other is
-    held against it, so a bucket costs its size, not its square; identical texts need no check.
-    Then buckets whose members are still apart get another centre, for ``rounds`` rounds or until a
-    round links nothing. What shares a bucket but was never held against a common document stays
-    apart.
+    with probability 0.997. In each band's bucket one document is the centre and every other is held
+    against it; identical texts need no check. Buckets whose members are still apart go on with 16
+    times as many centres a round, drawn from all but their largest class, each held against all
+    members of other classes that were no centre before. A bucket is done when those that were no
+    centre are of one class, so every two documents that share a bucket are of one class or were held
+    against each other. A bucket costs its size for each document outside its largest class.
 
     Null and empty texts have no shingles and are a class each; a text under five words is one
     shingle. Rows that repeat an id come out each, in their text's class; the first of them is kept.
@@ -165,30 +168,31 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR, rounds: int = 4) -> D
     banded = texts.select("text", F.explode("bands").alias("band"))
     shared = saved(banded.join(banded.groupBy("band").count().where("count > 1").select("band"), "band"), "banded", paths)
     sets = saved(weighted_sets(batches, df, shared.select("text").distinct().join(full.select(F.col("uid").alias("text"), "batch"), "text"), n_docs), "sets", paths)
-    links = None
+    links, apart, turn = None, shared, 0
     roots = shared.select(F.col("text").alias("node")).distinct().withColumn("root", F.col("node"))
-    for turn in range(rounds):
-        placed = shared.join(roots, F.col("text") == F.col("node")).select("band", "text", "root")
-        placed = saved(placed, "placed", paths)
-        # a bucket whose members are all of one class is done
-        first = F.struct(F.xxhash64("text", F.lit(turn)), F.col("text"), F.col("root")) if turn else F.struct(F.col("text").alias("h"), F.col("text"), F.col("root"))
-        centres = placed.groupBy("band").agg(F.min(first).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-        centres = centres.select("band", F.col("c.text").alias("centre"), F.col("c.root").alias("centre_root"))
-        pairs = placed.join(centres, "band").where("root != centre_root").select(
-            F.least("centre", "text").alias("x"), F.greatest("centre", "text").alias("y"), "centre", "text").dropDuplicates(["x", "y"])
-        if links is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = saved(pairs, "pairs", paths)
-        if pairs.isEmpty():
+    while True:
+        placed = apart.join(roots, F.col("text") == F.col("node")).select("band", "text", "root")
+        # who was a centre has met all others: a bucket is done when the rest of it is of one class
+        classes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("n", "root")).alias("most"))
+        placed = saved(placed.join(classes.where("n > 1").select("band", F.col("most.root").alias("largest")), "band"), "placed", paths)
+        if placed.isEmpty():
             break
-        done = pairs.select("x", "y")
-        tried = done if links is None else tried.unionByName(done)  # noqa: F821
-        found = saved(verified(sets, pairs, similar), "verified", paths)
-        links = found if links is None else links.unionByName(found)
+        order = [F.xxhash64("text", F.lit(turn))] if turn else []
+        place = F.row_number().over(Window.partitionBy("band").orderBy(*order, "text"))
+        centres = placed.where("root != largest").withColumn("_r", place).where(F.col("_r") <= WIDER**turn)
+        centres = saved(centres.select("band", "text", "root"), "centres", paths)
+        if turn:
+            found = saved(tiled(sets, placed, centres, similar), "verified", paths)
+        else:
+            heads = centres.select("band", F.col("text").alias("centre"), F.col("root").alias("centre_root"))
+            pairs = placed.join(heads, "band").where("root != centre_root").select(
+                F.least("centre", "text").alias("x"), F.greatest("centre", "text").alias("y"), "centre", "text").dropDuplicates(["x", "y"])
+            found = saved(verified(sets, saved(pairs, "pairs", paths), similar), "verified", paths)
+        apart = placed.select("band", "text").join(centres.select("band", "text"), ["band", "text"], "left_anti")
+        turn += 1
         if found.isEmpty():
-            if turn:
-                break
             continue
+        links = found if links is None else links.unionByName(found)
         got = components(links)
         roots = saved(roots.select("node").join(got, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots", paths)
     out = full.select("uid", "doc_id", "same", "n_shingles").join(texts.select("same", "n_shingles", "text"), ["same", "n_shingles"])
@@ -251,6 +255,44 @@ def verified(sets: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     return met.groupBy("centre", "part").applyInPandas(compare, "a long, b long")
 
 
+def tiled(sets: DataFrame, members: DataFrame, centres: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) of at least ``similar`` between ``centres`` and ``members`` (band, text, root) of one band and different roots.
+
+    A group holds about 64 of either, so a set travels once for about 64 comparisons.
+    """
+    n = lambda name: F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias(name)
+    parts = members.groupBy("band").agg(n("rows")).join(centres.groupBy("band").agg(n("columns")), "band")
+    deal = lambda seed, by: F.pmod(F.xxhash64("text", F.lit(seed)), F.col(by)).cast("int")
+    each = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+    across = members.join(parts, "band").select("band", "text", "root", deal(1, "rows").alias("row"), each("columns").alias("column"), F.lit(False).alias("centre"))
+    down = centres.join(parts, "band").select("band", "text", "root", each("rows").alias("row"), deal(2, "columns").alias("column"), F.lit(True).alias("centre"))
+    met = across.unionByName(down).join(sets.withColumnRenamed("uid", "text"), "text")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        centre, text, root = (rows[c].to_numpy() for c in ("centre", "text", "root"))
+        heads, others = np.flatnonzero(centre), np.flatnonzero(~centre)
+        both = np.zeros((len(others), len(heads)))
+        keys = [unpack(k, 6) for k in rows["keys"]]
+        w = [STEP ** read(v, np.uint16).astype(float) for v in rows["weights"]]
+        known = np.unique(np.concatenate([keys[i] for i in heads])) if len(heads) else np.zeros(0, U)
+        for at in range(0, len(known), TABLE):
+            part = known[at : at + TABLE]
+            table = np.zeros((len(part), len(heads)))
+            for j, i in enumerate(heads):
+                lo, hi = np.searchsorted(keys[i], part[0]), np.searchsorted(keys[i], part[-1], "right")
+                table[np.searchsorted(part, keys[i][lo:hi]), j] = w[i][lo:hi]
+            for j, i in enumerate(others):
+                place = np.minimum(np.searchsorted(part, keys[i]), len(part) - 1)
+                hit = part[place] == keys[i]
+                both[j] += np.minimum(table[place[hit]], w[i][hit, None]).sum(0)
+        total = np.array([x.sum() for x in w])
+        near = (both >= (similar - 1e-9) * (total[others, None] + total[heads] - both)) & (root[others, None] != root[heads])
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"a": text[heads[j]], "b": text[others[i]]})
+
+    return met.groupBy("band", "row", "column").applyInPandas(compare, "a long, b long")
+
+
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, columns as they were.
 

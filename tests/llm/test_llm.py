@@ -333,6 +333,18 @@ def test_near_groups_edges(docs, empty):
     assert drop_near_copies(docs).columns == docs.columns and near_groups(empty).count() == 0
 
 
+def test_near_groups_beside_a_large_class(spark, monkeypatch):
+    """Pairs and chains in one bucket with a large class of distinct near copies, and more classes than rounds once were."""
+    from factloom.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "signatures", lambda hashes, doc, weights, n: np.zeros((n, near_dedup.BANDS * near_dedup.ROWS), np.uint64))
+    text = lambda c, changed: " ".join(f"{c}{i}" if i >= changed else f"{c}{i}x{changed}" for i in range(200))
+    rows = [(i, text("a", i)) for i in range(20)] + [(100 * c + i, text(f"c{c}w", i)) for c in range(1, 31) for i in range(2)]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 * c + i] == (100 * c, 2) for c in range(1, 31) for i in range(2))
+    assert {got[i] for i in range(20)} == {(0, 20)}
+
+
 # ---- nearest neighbours
 
 
