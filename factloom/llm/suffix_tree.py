@@ -16,7 +16,7 @@ from factloom.llm.spans import mixed64, sums_by_text
 U = np.uint64
 END = np.array([0x9D39247E33776D41], U)
 #: Occurrences a context needs to be a candidate; weight of the shorter context in a longer one's
-#: distribution; nats that a context must gain; occurrences from which it is kept untested.
+#: distribution; nats that a context must gain; occurrences from which its followers are dealt.
 LEAST, PRIOR, GAIN, HOT = 4, 2.0, 2.0, 1 << 18
 #: A frequent context's followers are dealt to so many buckets.
 SLICES = 16
@@ -95,18 +95,18 @@ def slices(batch: Batch, p: Pairs, hot: np.ndarray, buckets: int) -> list[tuple[
     return out
 
 
-ASK_PAIRS = "bucket int, batch long, contexts binary, n_follow binary, x binary, counts binary, cost binary"
+ASK_PAIRS = "bucket int, batch long, contexts binary, n_hot binary, n_follow binary, x binary, counts binary, cost binary"
 
 
-def ask_pairs(number: int, batch: Batch, p: Pairs, hot: np.ndarray, parent: np.ndarray, buckets: int) -> pd.DataFrame:
-    """Questions: contexts, followers, training counts, and -log P(follower | shorter context) in tenths of nats."""
+def ask_pairs(number: int, batch: Batch, p: Pairs, n_hot: np.ndarray, parent: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Questions: contexts, occurrences of the hot ones (0 of others), followers, training counts, and -log P(follower | shorter context) in tenths of nats."""
     cost = np.clip(np.round(-np.log(parent[p.first]) * 10), 0, 255).astype(np.uint8)
     rows = []
     owner = np.repeat(np.arange(len(p.contexts)), p.n_follow)
-    for b, who, mine in slices(batch, p, hot, buckets):
+    for b, who, mine in slices(batch, p, n_hot > 0, buckets):
         n = np.diff(np.append(np.flatnonzero(np.append(True, owner[mine][1:] != owner[mine][:-1])), len(mine)))
-        rows.append((b, number, p.contexts[who].tobytes(), pack(n, 4), pack(batch.words[p.x[mine]] >> U(24), 5), pack(p.count[mine], 4), cost[mine].tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "batch", "contexts", "n_follow", "x", "counts", "cost"])
+        rows.append((b, number, p.contexts[who].tobytes(), pack(n_hot[who], 6), pack(n, 4), pack(batch.words[p.x[mine]] >> U(24), 5), pack(p.count[mine], 4), cost[mine].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "batch", "contexts", "n_hot", "n_follow", "x", "counts", "cost"])
 
 
 def answer_pairs(asked: DataFrame) -> DataFrame:
@@ -116,6 +116,9 @@ def answer_pairs(asked: DataFrame) -> DataFrame:
     each follower judged by the other occurrences alone: with N occurrences, the sum over followers
     of c * log(((c - 1) / (N - 1 + PRIOR)) / P(x | shorter)), and log(PRIOR / (N - 1 + PRIOR)) for
     followers seen once. A context stays if that reaches GAIN nats.
+
+    A hot context's bucket sees only some of its followers: its occurrences come with the question, and
+    a row without a batch holds such contexts as ``counts`` and their parts of the sum as ``kept``.
     """
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -128,25 +131,45 @@ def answer_pairs(asked: DataFrame) -> DataFrame:
         of = of.reshape(-1)
         c = np.bincount(of, np.concatenate([unpack(v, 4) for v in rows["counts"]]).astype(float), minlength=len(both))
         who = owner[first]
-        n = np.bincount(who, c, minlength=len(names))[who]
+        n_hot = np.zeros(len(names), np.int64)
+        n_hot[name.reshape(-1)] = np.concatenate([unpack(v, 6) for v in rows["n_hot"]])
+        n = np.where(n_hot > 0, n_hot, np.bincount(who, c, minlength=len(names)))[who]
         cost = np.concatenate([read(v, np.uint8) for v in rows["cost"]])[first] / 10
         rest = np.log(np.maximum(n - 1 + PRIOR, 1e-9))
         gain = np.where(c >= 2, c * (np.log(np.maximum(c - 1, 1)) - rest + cost), np.where(c == 1, np.log(PRIOR) - rest, 0.0))
-        kept = (np.bincount(who, gain, minlength=len(names)) >= GAIN)[name.reshape(-1)]
+        gain = np.bincount(who, gain, minlength=len(names))
+        kept = ((gain >= GAIN) & (n_hot == 0))[name.reshape(-1)]
         ctx_edges, pair_edges = np.cumsum([0, *map(len, contexts)]), np.cumsum([0, *map(len, x)])
         cut = lambda e: list(zip(e, e[1:], strict=False))
-        return pd.DataFrame({"batch": rows["batch"], "bucket": rows["bucket"], "counts": [pack(c[of[i:j]].astype(np.int64), 4) for i, j in cut(pair_edges)],
+        part = pd.DataFrame({"batch": [None], "bucket": rows["bucket"].iloc[:1].to_list(), "counts": [names[n_hot > 0].tobytes()], "kept": [gain[n_hot > 0].tobytes()]})
+        found = pd.DataFrame({"batch": rows["batch"], "bucket": rows["bucket"], "counts": [pack(c[of[i:j]].astype(np.int64), 4) for i, j in cut(pair_edges)],
                              "kept": [kept[i:j].tobytes() for i, j in cut(ctx_edges)]})
+        return pd.concat([found.astype({"batch": object}), part]) if n_hot.any() else found
 
     return asked.groupBy("bucket").applyInPandas(add, "batch long, bucket int, counts binary, kept binary")
 
 
+def hot_kept(found: DataFrame) -> np.ndarray:
+    """Hot contexts that the test keeps, sorted: the sums of their parts over all buckets.
+
+    There is at most one for every HOT words of the corpus and length.
+    """
+
+    def parts(rows):
+        for part in rows:
+            for names, gain in zip(part["counts"], part["kept"], strict=True):
+                yield pd.DataFrame({"context": read(names, np.int64), "gain": read(gain, float)})
+
+    gains = found.where("batch is null").select("counts", "kept").mapInPandas(parts, "context long, gain double").groupBy("context").agg(F.sum("gain").alias("gain"))
+    return np.sort(np.array([x.context for x in gains.where(F.col("gain") >= GAIN).collect()], np.int64).view(U))
+
+
 class Totals(NamedTuple):
     n: int
     v: int
 
 
-def walk(row: pd.Series, answers: pd.DataFrame, totals: Totals, depth: int, buckets: int) -> dict:
+def walk(row: pd.Series, answers: pd.DataFrame, totals: Totals, depth: int, buckets: int, hot_from: int, tested: dict[int, np.ndarray]) -> dict:
     """Probabilities of all positions of a batch under contexts up to ``depth``, and the next question's parts."""
     batch = load(row)
     by_round = dict(tuple(answers.groupby("round"))) if len(answers) else {}
@@ -164,14 +187,14 @@ def walk(row: pd.Series, answers: pd.DataFrame, totals: Totals, depth: int, buck
         owner = np.repeat(np.arange(len(part.contexts)), part.n_follow)
         n_ctx = np.zeros(len(part.contexts), np.int64)
         n_ctx[owner[part.of]] = seen[part.at]
-        hot = n_ctx >= HOT
+        hot = n_ctx >= hot_from
         if k not in by_round:
             if k == depth:
                 break
             c, kept = np.zeros(len(part.x), np.int64), np.zeros(len(part.contexts), bool)
         else:
             got = by_round[k].set_index("bucket")
-            c, kept = np.zeros(len(part.x), np.int64), hot.copy()
+            c, kept = np.zeros(len(part.x), np.int64), hot & np.isin(part.contexts, tested[k])
             for b, who, mine in slices(batch, part, hot, buckets):
                 c[mine] = unpack(got.at[b, "counts"], 4)
                 kept[who] |= read(got.at[b, "kept"], bool)
@@ -185,10 +208,10 @@ def walk(row: pd.Series, answers: pd.DataFrame, totals: Totals, depth: int, buck
         longer, seen = np.zeros(len(h), U), np.zeros(len(h), np.int64)
         longer[1:], seen[1:] = mixed64(ctx[:-1] * U(0x9E3779B97F4A7C15) + h[:-1]), pair_count[:-1]
         ctx = longer
-    return {"batch": batch, "base": base, "count": count, "p": p, "used": used, "part": part, "hot": hot if depth else None}
+    return {"batch": batch, "base": base, "count": count, "p": p, "used": used, "part": part, "n_hot": np.where(hot, n_ctx, 0) if depth else None}
 
 
-def suffix_tree_scores(docs: DataFrame, held_out: str | None = None, depth: int = 2) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, held_out: str | None = None, depth: int = 2, hot_from: int = HOT) -> DataFrame:
     """Scores every whole text of ``docs`` by a suffix tree learnt from the rows not ``held_out``.
 
     Tokens are runs of non-blanks with A-Z lower-cased, and one end for each text. The root gives a
@@ -196,14 +219,15 @@ def suffix_tree_scores(docs: DataFrame, held_out: str | None = None, depth: int
     occurrences on and stays by the test of :func:`answer_pairs`; its distribution adds 2 virtual
     occurrences shared out as its longest kept suffix does, so it sums to 1 over all tokens and the
     unknown one. Each token is scored in the longest kept suffix of what stands before it in the
-    text. Contexts of 262,144 occurrences on are kept untested, and their followers are dealt to
-    several buckets.
+    text. The followers of contexts from 262,144 occurrences on (``hot_from``) are dealt to several
+    buckets and their parts of the test are added; the test is the same.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the
     text's probability), mean_depth (of the contexts used).
 
     All counts are over the whole training part and are joined by hash from bucketed answers;
-    nothing that grows with the corpus is broadcast or collected but N and V. Null and empty texts
+    nothing that grows with the corpus is broadcast or collected but N, V and the kept contexts of
+    ``hot_from`` occurrences on. Null and empty texts
     consist of their end; repeated rows are scored and counted each; without training rows every
     token is unknown; an empty table gives no rows.
     """
@@ -228,21 +252,23 @@ def suffix_tree_scores(docs: DataFrame, held_out: str | None = None, depth: int
         def ask(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
             out = []
             for _, row in rows.iterrows():
-                w = walk(row, got, totals, k, buckets)
-                out.append(ask_pairs(row["batch"], w["batch"], w["part"], w["hot"], w["p"], buckets))
-            return pd.concat(out) if out else pd.DataFrame(columns=["bucket", "batch", "contexts", "n_follow", "x", "counts", "cost"])
+                w = walk(row, got, totals, k, buckets, hot_from, tested)
+                out.append(ask_pairs(row["batch"], w["batch"], w["part"], w["n_hot"], w["p"], buckets))
+            return pd.concat(out) if out else pd.DataFrame(columns=["bucket", "batch", "contexts", "n_hot", "n_follow", "x", "counts", "cost"])
 
         return ask
 
+    tested: dict[int, np.ndarray] = {}
     for k in range(1, depth + 1):
         asked = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(asking(k), ASK_PAIRS)
         found = saved(answer_pairs(asked), "pair_counts")
-        answers = answers.unionByName(found.withColumn("round", F.lit(k)))
+        tested[k] = hot_kept(found)
+        answers = answers.unionByName(found.where("batch is not null").withColumn("round", F.lit(k)))
 
     def score(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in rows.iterrows():
-            w = walk(row, got, totals, depth, buckets)
+            w = walk(row, got, totals, depth, buckets, hot_from, tested)
             b = w["batch"]
             tokens = np.bincount(b.doc, minlength=b.n_docs)
             out.append(pd.DataFrame({

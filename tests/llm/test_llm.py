@@ -298,6 +298,16 @@ def test_suffix_tree_by_brute_force(spark, docs, empty):
     assert suffix_tree_scores(empty).count() == 0
 
 
+def test_suffix_tree_tests_hot_contexts_alike(spark):
+    """A frequent word whose followers all differ fails the test, however its followers are dealt."""
+    rows = [(i, f"the u{i} on and on", "en", "s", None) for i in range(60)]
+    table = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.lit(False))
+    want = {d: s for d, _, s in brute_tree([(i, False, [*words(t), None]) for i, t, *_ in rows])[0]}
+    for hot_from in (8, 1 << 18):
+        got = {r.doc_id: r.score for r in suffix_tree_scores(table, "held_out", hot_from=hot_from).collect()}
+        assert all(math.isclose(got[d], s, rel_tol=1e-9) for d, s in want.items())
+
+
 # ---- near duplicates
 
 
