@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +13,9 @@ from factloom.llm.common import running_start, saved
 
 #: Vectors that one block of the first graph compares with one another, and nodes that one task group updates.
 BLOCK, CHUNK = 512, 256
+#: The graph is grown until a smaller share of its edges is new; queries that measure the search, and
+#: the share of their true neighbours that it must find.
+SETTLED, SAMPLE, RECALL = 0.01, 64, 0.95
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -72,13 +77,14 @@ def _blocks(nodes: DataFrame, dims: int, tables: int, k: int, n: int) -> DataFra
     return found.join(nodes, "node").groupBy("block").applyInPandas(compare, _EDGE)
 
 
-def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int = 5, tables: int = 4) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int | None = None, tables: int = 4) -> DataFrame:
     """Edges (node, other, d) to about the ``k`` nearest of each node, d the squared distance.
 
     ``nodes`` (node, v) have distinct vectors of one length. Every round joins each node's
     neighbours, forward and reverse, with their vectors, compares them with one another where one of
     the two is new, and offers each the nearer ones; the k nearest stay. A node meets ``k`` of its
-    reverse neighbours, chosen by hash anew each round, so a hub's group stays small.
+    reverse neighbours, chosen by hash anew each round, so a hub's group stays small. Rounds end when
+    under 1 % of the edges are new, or after ``rounds`` where that is given.
     """
     first = nodes.first()
     dims, n = (len(first["v"]), nodes.count()) if first else (1, 0)
@@ -113,7 +119,7 @@ def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int = 5, tables: int
 
     edges = merged(_blocks(nodes, dims, tables, k, n))
     vectors = nodes.select(F.col("node").alias("other"), "v")
-    for turn in range(rounds):
+    for turn in count() if rounds is None else range(rounds):
         radius = edges.groupBy("node").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf")).cast("float").alias("radius")).withColumnRenamed("node", "other")
         chosen = F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("node", F.lit(turn))))
         back = edges.withColumn("_r", chosen).where(F.col("_r") <= k).select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh")
@@ -121,6 +127,9 @@ def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int = 5, tables: int
         met = members.join(vectors, "other").join(radius, "other", "left").fillna(float("inf"), ["radius"])
         offers = met.withColumn("chunk", chunk("node")).groupBy("chunk").applyInPandas(offer, _EDGE)
         edges = merged(edges.withColumn("fresh", F.lit(False)).unionByName(offers))
+        new = edges.agg(F.count_if("fresh").alias("fresh"), F.count(F.lit(1)).alias("all")).first()
+        if new["fresh"] <= SETTLED * new["all"]:
+            break
     return edges.select("node", "other", "d")
 
 
@@ -139,15 +148,48 @@ def _state(rows: pd.DataFrame, ef: int, width: int) -> pd.DataFrame:
     return rows.assign(next=open_ & (seen - before <= width))[["query", "other", "d", "visited", "next"]]
 
 
-def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, ef: int = 512, width: int = 64, most_steps: int = 60) -> DataFrame:
+def neighbours(nodes: DataFrame, graph: DataFrame) -> DataFrame:
+    """Links (node, others, vs) of the graph in both directions with the vectors at their ends."""
+    pair = nodes.select(F.col("node").alias("other"), "v")
+    near = graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("other")))).where("_r <= 40").drop("_r")).distinct()
+    return saved(near.join(pair, "other").groupBy("node").agg(F.collect_list("other").alias("others"), F.collect_list(F.col("v").cast("array<float>")).alias("vs")), "links")
+
+
+def true_nearest(nodes: DataFrame, starts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest other nodes (query, other) of a few ``starts`` (query, qv, other), by all distances."""
+    asked = starts.collect()
+    own, qv = np.array([x["other"] for x in asked], np.int64), np.array([x["qv"] for x in asked], float)
+
+    def near(parts):
+        for rows in parts:
+            ids, v = rows["node"].to_numpy(), np.array(rows["v"].tolist(), float)
+            for i in range(len(own)):
+                d = np.where(ids == own[i], np.inf, ((v - qv[i]) ** 2).sum(1))
+                best = np.lexsort((ids, d))[:k]
+                best = best[np.isfinite(d[best])]
+                yield pd.DataFrame({"query": own[i], "other": ids[best], "d": d[best]})
+
+    met = nodes.select("node", "v").mapInPandas(near, "query long, other long, d double")
+    return met.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("d", "other"))).where(F.col("_r") <= k).select("query", "other")
+
+
+def wide_enough(nodes: DataFrame, links: DataFrame, starts: DataFrame, k: int, ef: int) -> int:
+    """``ef`` or the first of its doubles that finds 95 % of the true neighbours of 64 queries; at most the number of nodes."""
+    sample = saved(starts.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
+    true, n = saved(true_nearest(nodes, sample, k), "true"), nodes.count()
+    wanted = true.count()
+    while ef < n and search(links, sample, ef).join(true, ["query", "other"], "left_semi").count() < RECALL * wanted:
+        ef *= 2
+    return ef
+
+
+def search(links: DataFrame, starts: DataFrame, ef: int = 512) -> DataFrame:
     """Nodes (query, other, d) that a greedy search from ``starts`` (query, qv, other) meets, the ``ef`` nearest.
 
-    Each step expands the ``width`` nearest nodes of every query that it has not visited among its
-    ``ef`` nearest, by a join with the graph, until none is left.
+    Each step expands the nearest nodes of every query that it has not visited among its ``ef``
+    nearest, 64 or an eighth of ``ef``, by a join with the graph, until none is left.
     """
-    pair = nodes.select(F.col("node").alias("other"), "v")
-    near = graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("other")))).where("_r <= 40").drop("_r")).distinct()
-    links = saved(near.join(pair, "other").groupBy("node").agg(F.collect_list("other").alias("others"), F.collect_list(F.col("v").cast("array<float>")).alias("vs")), "links")
+    width = max(64, ef // 8)
     queries = saved(starts.select("query", F.col("qv").cast("array<float>").alias("qv")), "queries")
     n = queries.count()
     chunk = F.pmod(F.xxhash64("query"), F.lit(max(1, n // 16)))
@@ -167,7 +209,7 @@ def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, ef: int = 512,
     schema = "query long, other long, d float, visited boolean, next boolean"
     own = starts.select("query", "other", F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("visited"))
     state = saved(own.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(update, schema), "state")
-    for _ in range(most_steps):
+    while True:
         front = state.where("next").select("query", F.col("other").alias("node"))
         if front.isEmpty():
             break
@@ -179,11 +221,13 @@ def search(nodes: DataFrame, graph: DataFrame, starts: DataFrame, ef: int = 512,
     return state.select("query", "other", "d")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 512, degree: int = 20, rounds: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 512, degree: int = 20, rounds: int | None = None) -> DataFrame:
     """The ``k`` nearest found of each query row: query_id, rank, vec_id, score (Euclidean distance).
 
     Every usable row is indexed; equal vectors are one node of the graph, and of a node the ``k + 1``
-    smallest ids can be results. The graph search starts at the query's own node. Distances of the
+    smallest ids can be results. The graph search starts at the query's own node; its width
+    starts at ``ef`` and doubles until it finds 95 % of the true neighbours of 64 of the queries, which
+    are held against all nodes. Distances of the
     nodes found are computed again from the original vectors in double precision; nearest first,
     equal ones by smaller id. The query itself is no candidate.
 
@@ -199,7 +243,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 512, degree: in
     # equal vectors ask once
     asked = queries.groupBy("other").agg(F.first("qv").alias("qv")).select(F.col("other").alias("query"), "qv", "other")
     graph = neighbour_graph(nodes, degree, rounds)
-    found = search(nodes, graph, asked, ef)
+    links, asked = neighbours(nodes, graph), saved(asked, "starts")
+    found = search(links, asked, wide_enough(nodes, links, asked, k, ef))
     close = found.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("d", "other"))).where(F.col("_r") <= 4 * k + 1)
     exact = (
         close.select(F.col("query").alias("qnode"), F.col("other").alias("node"))

@@ -379,6 +379,17 @@ def test_nearest_recall_and_edges(spark):
     assert nearest(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_nearest_widens_a_narrow_search(spark):
+    v = np.random.default_rng(4).standard_normal((1500, 48)).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(set)
+    for r in nearest(table, F.col("vec_id") % 50 == 0, ef=12, degree=5, rounds=1).collect():
+        got[r.query_id].add(r.vec_id)
+    exact = v.astype(float)
+    best = {q: {i for i in np.argsort(((exact - exact[q]) ** 2).sum(1))[:11] if i != q} for q in range(0, 1500, 50)}
+    assert sum(len(best[q] & got[q]) for q in best) >= 0.9 * 300
+
+
 def test_text_bytes_of_slices():
     body, offsets = text_bytes(pa.array(["ab", None, "", "cde"])[1:])
     assert bytes(body) == b"cde" and list(offsets) == [0, 0, 0, 3]
