@@ -21,6 +21,19 @@ def endpoint_match(t: Tables) -> DataFrame:
     return linking.endpoint_matches(requests, endpoints, compatible)
 
 
+@query("""WITH r AS (SELECT o_orderkey AS request_id, o_orderstatus AS method, o_orderpriority || '/' || o_custkey AS path, o_custkey % 5 AS version FROM orders),
+e AS (SELECT p_partkey AS endpoint_id, CASE p_partkey % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'F' ELSE 'P' END AS method, CASE p_partkey % 2 WHEN 0 THEN '1-URGENT' ELSE '5-LOW' END || '/' || p_partkey AS path, p_size % 5 AS version FROM part),
+c AS (SELECT DISTINCT p_size % 5 AS version, (p_size + 1) % 5 AS other FROM part), x AS (SELECT request_id, endpoint_id, 'exact' AS match FROM r JOIN e USING (method, path, version))
+SELECT * FROM x UNION ALL SELECT DISTINCT request_id, endpoint_id, 'compatible' FROM r JOIN c USING (version) JOIN e ON r.method = e.method AND r.path = e.path AND c.other = e.version WHERE request_id NOT IN (SELECT request_id FROM x)""")
+def endpoint_match_all(t: Tables) -> DataFrame:
+    requests = t.orders.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderstatus").alias("method"), F.concat_ws("/", "o_orderpriority", F.col("o_custkey").cast("string")).alias("path"), (F.col("o_custkey") % 5).alias("version"))
+    k = F.col("p_partkey")
+    path = F.concat_ws("/", F.when(k % 2 == 0, "1-URGENT").otherwise("5-LOW"), k.cast("string"))
+    endpoints = t.part.select(k.alias("endpoint_id"), F.when(k % 3 == 0, "O").when(k % 3 == 1, "F").otherwise("P").alias("method"), path.alias("path"), (F.col("p_size") % 5).cast("long").alias("version"))
+    compatible = t.part.select((F.col("p_size") % 5).cast("long").alias("version"), ((F.col("p_size") + 1) % 5).cast("long").alias("other")).distinct()
+    return linking.endpoint_matches(requests, endpoints, compatible)
+
+
 @query("""SELECT p_brand AS by_key, min(p_type) AS target FROM part WHERE p_size > 49 GROUP BY p_brand HAVING count(DISTINCT p_type) = 1""")
 def only_match(t: Tables) -> DataFrame:
     rows = t.part.where("p_size > 49").select(F.col("p_brand").alias("by_key"), F.col("p_type").alias("target"))
