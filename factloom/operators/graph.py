@@ -90,7 +90,7 @@ def incoming_links(edges: DataFrame, seeds: DataFrame, depth: int, cap: int, rel
     return out if out is not None else hops.limit(0).select(F.lit(0).alias("depth"), "src", "dst", "relation")
 
 
-def structural_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+def structural_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): labels from content and neighbours' labels, refined until no class splits.
 
     ``nodes`` are (node, label); surrogate ids never enter a label, so equal graphs have equal labels.
@@ -100,7 +100,7 @@ def structural_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
     classes = now.select("label").distinct().count()
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.concat(F.lit(">"), "relation").alias("by")).unionByName(
         edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.concat(F.lit("<"), "relation").alias("by")))
-    for _ in range(rounds):
+    while True:
         near = both.join(now.withColumnRenamed("node", "other"), "other").groupBy("node", "by", "label").agg(F.count(F.lit(1)).alias("n"))
         # an order-free sum of hashes stands for the multiset, whatever its size
         h = F.xxhash64("by", "label", "n").cast("decimal(38,0)")

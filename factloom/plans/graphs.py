@@ -71,5 +71,5 @@ def path_join(t: Tables) -> DataFrame:
 def structural_labels(t: Tables) -> DataFrame:
     nodes = t.supplier.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"), F.lit("supplier").alias("label")).unionByName(
         t.part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_type").alias("label")))
-    found = graph.structural_labels(nodes, supply(t), 3)
+    found = graph.structural_labels(nodes, supply(t))
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("n_nodes"))

@@ -190,3 +190,13 @@ def test_agreeing_and_archive(spark):
     with pytest.raises(ValueError):
         linking.without_repository({"f": facts}, links, "r")
     assert linking.without_repository({"f": facts}, links, "s")["f"].count() == 2
+
+
+def test_structural_labels_go_on_until_no_class_splits(spark):
+    from factloom.llm.common import shared_dir
+    from factloom.operators.graph import structural_labels
+
+    shared_dir(spark)
+    nodes = spark.createDataFrame([(f"n{i}", "x") for i in range(26)], "node string, label string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "NEXT") for i in range(25)], "src string, dst string, relation string")
+    assert structural_labels(nodes, edges).select("label").distinct().count() == 26
