@@ -44,10 +44,10 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 
-def mix(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", also: tuple[str, ...] = (), **targets) -> DataFrame:
     """How often the mix takes each document.
 
-    Columns: doc_id, source, size, source_size, target, rate, repeats, taken. ``repeats`` is
+    Columns: doc_id, source, size, source_size, target, rate, repeats, taken, and those of ``also``. ``repeats`` is
     floor(rate) plus one copy drawn with the rate's fraction as its probability. ``taken`` is
     repeats * size.
 
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     Null text has size 0, a null source is a source of its own. Rows that repeat an id are drawn
     each; reruns agree, whatever the partitioning. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", "source", n_tokens().alias("size"))
+    rows = docs.select("doc_id", "source", n_tokens().alias("size"), *also)
     rows = saved(rows.withColumn("_hash", F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     found = source_targets(sizes, **targets)
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     uniform = F.conv(F.substring("_hash", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     strata = F.ceil(F.col("n_docs") / STRATUM)
     frac = F.col("rate") - F.floor("rate")
-    place = Window.partitionBy("source", "_stratum").orderBy("size", "_hash", "doc_id")
+    place = Window.partitionBy("source", "_stratum").orderBy("size", "_hash", "doc_id", *also)
     drawn = (
         joined.withColumn("_stratum", F.least(F.floor(uniform * strata), strata - 1))
         .withColumn("_i", F.row_number().over(place))
@@ -80,16 +80,16 @@ def mix(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     repeats = (F.floor("rate") + F.col("_extra")).cast("long")
     return drawn.select(
         "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate",
-        repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"),
+        repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), *also,
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix has them: each row as often as it is taken, columns as they were.
 
-    Rows that repeat an id share the largest of their draws.
+    Every row has its own draw, also where ids are repeated or null.
     """
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.max("repeats").alias("_times")).where("_times > 0")
-    plan = plan.withColumnRenamed("doc_id", "_id")
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    plan = mix(rows, also=("_row",), **options).where("repeats > 0").select("_row", F.col("repeats").alias("_times"))
+    taken = rows.join(plan, "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)

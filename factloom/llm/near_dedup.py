@@ -296,7 +296,11 @@ def tiled(sets: DataFrame, members: DataFrame, centres: DataFrame, similar: floa
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, columns as they were.
 
-    Rows that repeat a kept id are dropped to one of them, the first by text.
+    Every row is judged by its own number, so rows that repeat an id or have none are told apart; of a
+    class the row of the smallest id stays, of several such the first by number.
     """
-    kept = near_groups(docs, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*docs.columns)
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_groups(rows.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_row"), "class_id")
+    ids = found.join(rows.select("_row", "doc_id"), "_row")
+    kept = ids.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

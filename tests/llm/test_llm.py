@@ -355,6 +355,16 @@ def test_near_groups_beside_a_large_class(spark, monkeypatch):
     assert {got[i] for i in range(20)} == {(0, 20)}
 
 
+def test_rows_without_own_ids_are_judged_each(spark):
+    text = lambda c, end: " ".join(f"{c}{i}" for i in range(80)) + f" {end}"
+    rows = [(None, text(c, end), "en", "s", None) for c in "abcd" for end in ("x", "y", "z")] + [(7, text("e", end), "en", "s", None) for end in ("x", "y")]
+    table = spark.createDataFrame(rows, DOCS)
+    kept = [r.text[:2] for r in drop_near_copies(table).collect()]
+    assert sorted(kept) == ["a0", "b0", "c0", "d0", "e0"]
+    sizes = mix(table, share=0.5).agg(F.sum("taken")).first()[0]
+    assert mixed(table, share=0.5).select(common.n_tokens().alias("n")).agg(F.sum("n")).first()[0] == sizes <= 0.6 * 81 * len(rows)
+
+
 # ---- nearest neighbours
 
 
