@@ -33,7 +33,7 @@ def saved_by(df: DataFrame, name: str, key: str, paths: list[str] | None = None)
     spark = df.sparkSession
     table, path = f"{name}_{uuid.uuid4().hex}", new_path(spark, name)
     if paths is not None:
-        paths.append(path)
+        paths.extend([f"table {table}", path])
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).sortBy(key).saveAsTable(table)
     return spark.table(table)
 

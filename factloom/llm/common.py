@@ -14,9 +14,14 @@ BLANK = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as the session names it.
+
+    A local session that names none gets a temporary folder; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-factloom-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -39,13 +44,29 @@ def saved(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes written tables that nothing reads any more."""
+    """Deletes written tables that nothing reads any more, paths and "table " with a name."""
     for path in paths:
+        if path.startswith("table "):
+            spark.sql(f"DROP TABLE IF EXISTS {path.removeprefix('table ')}")
+            continue
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     paths.clear()
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that ``df`` does not have yet, case aside."""
+    taken = {c.lower() for c in df.columns}
+    while any(f"_{n}".lower() in taken for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return [f"_{n}" for n in names]
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """The columns of ``df``, also those with dots in their names."""
+    return [f"`{c.replace('`', '``')}`" for c in df.columns]
+
+
 def crc_of_id(doc_id: str | Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("binary"))

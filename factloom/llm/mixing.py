@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import n_tokens, running_start, saved
+from factloom.llm.common import fresh_names, n_tokens, quoted, running_start, saved, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Rows of a source that one draw runs over; a larger source is drawn in several strata.
-STRATUM = 4096
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -44,52 +42,42 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
 
-def mix(docs: DataFrame, seed: str = "mix", also: tuple[str, ...] = (), **targets) -> DataFrame:
+def _plan(docs: DataFrame, seed: str, size: str, source: str, rate: str, repeats: str, **targets) -> DataFrame:
+    """``docs`` with the columns of the plan under the given names, each row drawn for itself."""
+    rows = docs.withColumn(size, n_tokens())
+    found = source_targets(rows.groupBy("source").agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("n_docs")), **targets)
+    found = found.select(F.col("source").alias(source), F.struct("source_size", "target", "rate").alias(rate))
+    joined = rows.join(F.broadcast(found) if found.count() <= 100_000 else found, F.col("source").eqNullSafe(F.col(source)))
+    who = F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text_of()))
+    uniform = F.conv(F.substring(F.md5(who), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+    whole = F.floor(f"{rate}.rate")
+    return joined.withColumn(repeats, (whole + (uniform < F.col(f"{rate}.rate") - whole).cast("int")).cast("long"))
+
+
+def mix(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     """How often the mix takes each document.
 
-    Columns: doc_id, source, size, source_size, target, rate, repeats, taken, and those of ``also``. ``repeats`` is
-    floor(rate) plus one copy drawn with the rate's fraction as its probability. ``taken`` is
+    Columns: doc_id, source, size, source_size, target, rate, repeats, taken. ``repeats`` is
+    floor(rate) plus one copy if the document's draw is under the rate's fraction. The draw is a
+    uniform number from a hash of seed, id and text, so documents are drawn independently. ``taken`` is
     repeats * size.
 
-    The draws are seeded by a hash of seed and document. Within a stratum (about 4,096 documents of
-    a source, dealt by hash) the documents, sorted by size, share one hashed start: document i gets
-    the extra copy if an integer lies in (start + fraction * (i-1), start + fraction * i]. Each
-    document's probability is exactly the fraction, as with independent draws, while the words taken
-    miss the target by at most one document per stratum.
-
-    Null text has size 0, a null source is a source of its own. Rows that repeat an id are drawn
-    each; reruns agree, whatever the partitioning. An empty table gives no rows.
+    Null text has size 0, a null source is a source of its own. Rows that repeat an id or have none
+    are told apart by their texts; rows that also repeat the text share their draw. Reruns agree,
+    whatever the partitioning; other columns are not looked at. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", "source", n_tokens().alias("size"), *also)
-    rows = saved(rows.withColumn("_hash", F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    found = source_targets(sizes, **targets)
-    joined = rows.withColumnRenamed("source", "_source").join(
-        F.broadcast(found) if found.count() <= 100_000 else found, F.col("_source").eqNullSafe(F.col("source"))
-    )
-    uniform = F.conv(F.substring("_hash", 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-    strata = F.ceil(F.col("n_docs") / STRATUM)
-    frac = F.col("rate") - F.floor("rate")
-    place = Window.partitionBy("source", "_stratum").orderBy("size", "_hash", "doc_id", *also)
-    drawn = (
-        joined.withColumn("_stratum", F.least(F.floor(uniform * strata), strata - 1))
-        .withColumn("_i", F.row_number().over(place))
-        .withColumn("_start", F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.coalesce("source", F.lit("null")), F.col("_stratum").cast("string"))), 1, 12), 16, 10).cast("double") / F.lit(float(16**12)))
-        .withColumn("_extra", F.floor(F.col("_start") + frac * F.col("_i")) - F.floor(F.col("_start") + frac * (F.col("_i") - 1)))
-    )
-    repeats = (F.floor("rate") + F.col("_extra")).cast("long")
-    return drawn.select(
-        "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate",
-        repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"), *also,
+    size, source, rate, repeats = fresh_names(docs, "size", "source", "rate", "repeats")
+    return _plan(docs, seed, size, source, rate, repeats, **targets).select(
+        "doc_id", "source", F.col(size).alias("size"), F.col(f"{rate}.source_size").cast("long").alias("source_size"), F.col(f"{rate}.target").alias("target"),
+        F.col(f"{rate}.rate").alias("rate"), F.col(repeats).alias("repeats"), (F.col(repeats) * F.col(size)).alias("taken"),
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, seed: str = "mix", **targets) -> DataFrame:
     """``docs`` as the mix has them: each row as often as it is taken, columns as they were.
 
-    Every row has its own draw, also where ids are repeated or null.
+    Draws, nulls, repeated rows and empty tables are as in :func:`mix`; columns of any name are kept.
     """
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    plan = mix(rows, also=("_row",), **options).where("repeats > 0").select("_row", F.col("repeats").alias("_times"))
-    taken = rows.join(plan, "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    size, source, rate, repeats, copy = fresh_names(docs, "size", "source", "rate", "repeats", "copy")
+    plan = _plan(docs, seed, size, source, rate, repeats, **targets).where(F.col(repeats) > 0)
+    return plan.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(repeats).cast("int")))).select(*quoted(docs))

@@ -90,9 +90,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+         md5('mix/' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '/' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY source),
 -- sources in the order in which they reach twice their size; the level is that of the first that does not
 f AS (
@@ -100,15 +100,11 @@ f AS (
          (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY 2.0 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
 t AS (
-  SELECT source, source_size, n_docs, round(least(2.0 * source_size, weight * coalesce((SELECT level FROM f WHERE level <= full_at ORDER BY full_at, source LIMIT 1), 0)), 6) AS target FROM f),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ceil(n_docs / 4096.0) AS strata FROM t),
-j AS (
-  SELECT doc_id, size, h, r.*, CAST(least(floor(CAST('0x' || substr(h, 1, 12) AS BIGINT) / 281474976710656.0 * strata), strata - 1) AS BIGINT) AS stratum
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-k AS (
-  SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY size, h, doc_id) AS i, rate - floor(rate) AS frac,
-         CAST('0x' || substr(md5('mix/' || coalesce(source, 'null') || '/' || stratum), 1, 12) AS BIGINT) / 281474976710656.0 AS start FROM j)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + floor(start + frac * i) - floor(start + frac * (i - 1))) AS BIGINT) AS taken FROM k
+  SELECT source, source_size, round(least(2.0 * source_size, weight * coalesce((SELECT level FROM f WHERE level <= full_at ORDER BY full_at, source LIMIT 1), 0)), 6) AS target FROM f),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(h, 1, 12) AS BIGINT) / 281474976710656.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
 OP9_SQL = r"""
