@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import id_remainder
+from factloom.llm.encoding import runs
+
+NAMES = ("score", "predicted", "held_out")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, mod: int = 5) -> tuple[DataFrame, dict[int, int]]:
@@ -46,6 +50,29 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
     return None if got is None else pickle.loads(got["model"])
 
 
+def scored(docs: DataFrame, score_texts: Callable[[pa.Array], np.ndarray], threshold: float, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """``docs`` with the score of each whole text, whether it reaches ``threshold``, and whether the id is held out.
+
+    The three columns have the given names, in place of columns of ``docs`` that have them.
+    """
+    score, predicted, held_out = names
+    keep = [c for c in docs.columns if c not in names]
+    plain = [f"c{i}" for i in range(len(keep))]  # columns may have names that cannot go through Arrow functions
+    text = plain[keep.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in runs(whole, text):
+                got = score_texts(batch.column(text).cast(pa.large_string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(got)], [*plain, "score"])
+
+    rows = docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(p) for c, p in zip(keep, plain, strict=True)])
+    out = rows.mapInArrow(run, rows.limit(0).withColumn("score", F.lit(0.0)).schema)
+    out = out.withColumn("held_out", id_remainder(plain[keep.index("doc_id")], 5) == 0)
+    return out.select(*[F.col(p).alias(c) for c, p in zip(keep, plain, strict=True)], F.col("score").alias(score),
+                      (F.col("score") >= threshold).cast("int").alias(predicted), F.col("held_out").alias(held_out))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps; the last column of ``x`` should be ones."""
     weight = np.ones(len(y)) if weight is None else weight

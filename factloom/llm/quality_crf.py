@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from factloom.llm.common import id_remainder
-from factloom.llm.encoding import runs
-from factloom.llm.fitting import fitted, labelled, logistic, sigmoid
+from factloom.llm.fitting import NAMES, fitted, labelled, logistic, scored, sigmoid
 from factloom.llm.spans import LOWER, mixed64, span_hashes, sums_by_text, text_bytes, word_spans
 
 U = np.uint64
@@ -113,37 +108,50 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([own, before, after, np.ones((len(own), 1))], axis=1), size, line_text
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices of logarithms."""
+    return np.logaddexp(a[:, :, :1] + b[:, None, 0], a[:, :, 1:] + b[:, None, 1])
+
+
+def _running(m: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Product of all matrices of the group up to each one, in as many passes as the longest group doubles."""
+    out, step = m.copy(), 1
+    while step < len(m):
+        at = np.flatnonzero(group[step:] == group[:-step]) + step
+        if not len(at):
+            break
+        out[at] = _times(out[at - step], out[at])
+        step *= 2
+    return out
+
+
 def marginals(odds: np.ndarray, text: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(line is good) by forward and backward sums, and the expected transitions of each kind.
 
     ``odds`` are the lines' own log-odds, ``text`` the ascending number of each line's text, ``chain``
-    the 2 x 2 transition scores. All texts advance together, line by line.
+    the 2 x 2 transition scores. Both sums are running products of 2 x 2 matrices, so a text of many
+    lines takes as many passes as its number of lines doubles.
     """
     rows = len(odds)
-    first = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if rows else np.zeros(0, np.int64)
-    length = np.diff(np.append(first, rows))
-    order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    deepest = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(1, deepest + 1), side="right")  # texts with more than t lines
-    forward, backward = np.zeros((rows, 2)), np.zeros((rows, 2))
     own = np.stack([np.zeros(rows), odds], axis=1)
-    if rows:
-        forward[first] = own[first]
-    for t in range(1, deepest):
-        at = first[: active[t]] + t
-        prev = forward[at - 1]
-        forward[at] = own[at] + np.logaddexp(prev[:, :1] + chain[0], prev[:, 1:] + chain[1])
-    for t in range(deepest - 2, -1, -1):
-        at = first[: active[t + 1]] + t
-        nxt = own[at + 1] + backward[at + 1]
-        backward[at] = np.logaddexp(chain[:, 0] + nxt[:, :1], chain[:, 1] + nxt[:, 1:])
+    new = np.append(True, text[1:] != text[:-1])[:rows]
+    end = np.append(new[1:], True)[:rows]
+    # from line t - 1 to t, and a first line whatever was before
+    steps = np.where(new[:, None, None], 0.0, chain) + own[:, None, :]
+    forward = _running(steps, text)[:, 0, :]
+    # the same from the end, with rows and columns exchanged
+    after = np.zeros((rows, 2, 2))
+    inside = np.flatnonzero(~end)
+    after[inside] = (chain[None] + own[inside + 1][:, None, :]).transpose(0, 2, 1)
+    last = np.flatnonzero(end)
+    after[last] = np.array([[0.0, 0.0], [-np.inf, -np.inf]])
+    with np.errstate(invalid="ignore"):
+        backward = _running(after[::-1], text[::-1])[::-1][:, 0, :]
     both = forward + backward
     good = sigmoid(both[:, 1] - both[:, 0])
-    inner = np.flatnonzero(text[1:] == text[:-1]) if rows else np.zeros(0, np.int64)
-    total = np.logaddexp(both[inner, 0], both[inner, 1])
-    nxt = own[inner + 1] + backward[inner + 1]
-    expected = np.exp(forward[inner][:, :, None] + chain[None] + nxt[:, None, :] - total[:, None, None])
+    total = np.logaddexp(both[inside, 0], both[inside, 1])
+    nxt = own[inside + 1] + backward[inside + 1]
+    expected = np.exp(forward[inside][:, :, None] + chain[None] + nxt[:, None, :] - total[:, None, None])
     return good, expected.sum(axis=0)
 
 
@@ -205,24 +213,14 @@ def score_texts(model: dict | None, column: pa.Array) -> np.ndarray:
     return sigmoid(model["scale"][0] * odds + model["scale"][1])
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.3, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """``docs`` with score (0 to 1, higher: better), predicted (1 from ``threshold`` on) and held_out.
 
     Fits on at most ``per_class`` documents of each label, drawn by hash from the rows that may be
     learnt from; scores every whole text. Only the text is looked at. Null and empty texts get the
     score of one empty line; without labels every score is 0.5; repeated rows are scored each; an
-    empty table gives no rows. Columns of ``docs`` stay, but for those of the three names.
+    empty table gives no rows. Columns of ``docs`` stay, but for those of the three ``names``.
     """
     sample, sizes = labelled(docs, labels, "quality", per_class)
     model = fitted(sample, lambda rows: fit_crf(rows, sizes))
-    keep = [c for c in docs.columns if c not in ("score", "predicted", "held_out")]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in runs(whole, "text"):
-                got = score_texts(model, batch.column("text").cast(pa.large_string()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got)], [*keep, "score"])
-
-    rows = docs.select(*keep)
-    scored = rows.mapInArrow(score, rows.limit(0).withColumn("score", F.lit(0.0)).schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumn("held_out", id_remainder("doc_id", 5) == 0)
+    return scored(docs, lambda column: score_texts(model, column), threshold, names)

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from factloom.llm.common import id_remainder
-from factloom.llm.encoding import runs
-from factloom.llm.fitting import fitted, labelled, logistic, sigmoid
+from factloom.llm.fitting import NAMES, fitted, labelled, logistic, scored, sigmoid
 from factloom.llm.spans import LOWER, mixed64, span_hashes, text_bytes
 
 U = np.uint64
-#: Taken off the counts of pairs, and of words: a word seen less often in a class has the shared probability alone.
-DISCOUNT, RARE = 0.75, 4.0
-#: A word with this log-ratio is strong evidence.
-STRONG, FEATURES = 5.5, 7
+#: Taken off the counts of pairs, and of words: what a class has less often has the shared probability alone.
+DISCOUNT, RARE = 4.0, 2.0
+#: Share of a toxic text's words that come from the toxic model (e^-5); parts of the sample that are scored by the others.
+SHARE, FOLDS = 0.0067, 3
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 39]] = True
 
@@ -87,7 +83,8 @@ def _look(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class KneserNey:
     """Two bigram models, one a class, that back off to beginnings of words and to shared counts.
 
-    P(w | h) = max(c(h, w) - D, 0) / c(h) + left(h) P(w). P(w) is a product down the word's
+    P(w | h) = max(c(h, w) - D, 0) / c(h) + left(h) P(w), c(h, w) the distinct words that stand before
+    the pair in the class and c(h) their sum. P(w) is a product down the word's
     beginnings s1 < s2 < ... < w, each given the one before:
     P(s | parent) = max(f(s) - R, 0) / f(parent) + left(parent) P0(s | parent).
     f counts the distinct pairs (word before, word) of the class, so copies of a document add
@@ -131,11 +128,20 @@ class KneserNey:
             parent, parent_f = back, f
         del stems
         often = np.flatnonzero(total >= 2)
-        by_class = np.stack([np.bincount(again.reshape(-1)[which == c], minlength=len(distinct)) for c in (0, 1)])[:, often].astype(np.float64)
-        self.pairs = distinct[often]
+        again = again.reshape(-1)
         self.heads, head_of = np.unique(before, return_inverse=True)
         head_of = head_of.reshape(-1)
-        head_counts = np.stack([np.bincount(head_of[which == c], minlength=len(self.heads)) for c in (0, 1)]).astype(np.float64)
+        triple = np.zeros(len(pair), U)
+        triple[1:] = np.where(words.text[1:] == words.text[:-1], pair[:-1], U(0))
+        triple = mixed64(triple * U(0x9E3779B97F4A7C15) + words.whole)
+        by_class, head_counts = np.zeros((2, len(often))), np.zeros((2, len(self.heads)))
+        for c in (0, 1):
+            mine = np.flatnonzero(which == c)
+            mine = mine[np.unique(triple[mine], return_index=True)[1]]
+            by_class[c] = np.bincount(again[mine], minlength=len(distinct))[often]
+            head_counts[c] = np.bincount(head_of[mine], minlength=len(self.heads))
+        del triple
+        self.pairs = distinct[often]
         head = head_of[first[often]]
         disc = np.maximum(by_class - DISCOUNT, 0) / np.maximum(head_counts[:, head], 1)
         self.pair = disc.astype(np.float32)
@@ -168,43 +174,40 @@ class KneserNey:
         return np.log(p[1]) - np.log(p[0])
 
 
-def evidence(ratio: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    """Features of each text, the log-ratios clipped: their mean (the length-normalised comparison),
-    logs of the number and share of words of strong and of some evidence, log length, 1."""
-    ratio = np.clip(ratio, -STRONG, 2 * STRONG)
-    size = np.maximum(np.bincount(text, minlength=n).astype(float), 1)
-    strong = np.bincount(text, (ratio > STRONG).astype(float), minlength=n)
-    some = np.bincount(text, (ratio > STRONG / 2).astype(float), minlength=n)
-    mean = np.bincount(text, ratio, minlength=n) / size
-    return np.stack([np.clip(10 * mean, -3, 3), np.log1p(strong), np.log1p(100 * strong / size), np.log1p(some),
-                     np.log1p(100 * some / size), np.log1p(size) / 5, np.ones(n)], axis=1)
+def normalised(ratio: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """The length-normalised comparison of each text, 0 for one without words.
+
+    A toxic text is taken to have each word from the toxic model with the probability SHARE and from
+    the ordinary one otherwise. The log-likelihood of that less the ordinary one, divided by the root
+    of the number of words, so that chance moves long and short texts alike.
+    """
+    gain = np.log1p(SHARE * np.expm1(np.minimum(ratio, 50)))
+    return np.bincount(text, gain, minlength=n) / np.sqrt(np.maximum(np.bincount(text, minlength=n), 1))
+
+
+def _inputs(comparison: np.ndarray) -> np.ndarray:
+    """The rising function of the comparison that the calibration sees, and a constant."""
+    return np.stack([np.log(0.01 + np.maximum(comparison, 0)), np.ones(len(comparison))], axis=1)
 
 
 def fit_toxicity(rows: pd.DataFrame, sizes: dict[int, int]) -> dict:
-    """Models from all the sample; the logistic over :func:`evidence` from models that did not see the text."""
+    """Models from all the sample; the calibration from comparisons by models that did not see the text."""
     found = words(pa.array(rows["text"], pa.large_string()))
     text = found.text
     label = rows["label"].to_numpy()
     n = len(label)
     if len(set(label.tolist())) < 2:
-        return {"models": None, "scale": np.append(np.zeros(FEATURES - 1), 4.0 if label.mean() > 0.5 else -4.0)}
-    # as many of either class: with unequal counts rare words would lean to the smaller one
-    taken = np.zeros(n, bool)
-    for c in (0, 1):
-        taken[np.flatnonzero(label == c)[: np.bincount(label, minlength=2).min()]] = True
-    fold = np.cumsum(taken) % 2
-    x = np.zeros((n, FEATURES))
-    for k in (0, 1):
-        seen = (fold != k)[text] & taken[text]
-        model = KneserNey(found.only(seen), label)
-        own = fold[text] == k
-        part = found.only(own)
-        got = evidence(model.log_ratio(part), part.text, n)
-        x[fold == k] = got[fold == k]
+        return {"models": None, "scale": np.array([0.0, 4.0 if label.mean() > 0.5 else -4.0])}
+    fold, value = np.arange(n) % FOLDS, np.zeros(n)
+    for k in range(FOLDS):
+        if len(set(label[fold != k].tolist())) < 2:
+            continue
+        part = found.only((fold == k)[text])
+        value[fold == k] = normalised(KneserNey(found.only((fold != k)[text]), label).log_ratio(part), part.text, n)[fold == k]
     sampled = np.bincount(label, minlength=2)
     weight = np.array([sizes.get(c, 0) / max(1, sampled[c]) for c in (0, 1)])[label]
-    seen = taken[text]
-    return {"models": KneserNey(found.only(seen), label), "scale": logistic(x, label.astype(float), weight / weight.mean(), 1e-4)}
+    scale = logistic(_inputs(value), label.astype(float), weight / weight.mean(), 1e-4)
+    return {"models": KneserNey(found, label), "scale": np.array([max(scale[0], 0.0), scale[1]])}
 
 
 def score_texts(model: dict | None, column: pa.Array) -> np.ndarray:
@@ -214,27 +217,18 @@ def score_texts(model: dict | None, column: pa.Array) -> np.ndarray:
     if model["models"] is None:
         return np.full(n, sigmoid(model["scale"][-1]))
     found = words(column)
-    return sigmoid(evidence(model["models"].log_ratio(found), found.text, n) @ model["scale"])
+    return sigmoid(_inputs(normalised(model["models"].log_ratio(found), found.text, n)) @ model["scale"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, threshold: float = 0.5, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """``docs`` with score (0 to 1, higher: likelier toxic), predicted (1 from ``threshold`` on) and held_out.
 
-    Fits on at most ``per_class`` documents of each label, drawn by hash from the rows that may be
+    The score is a rising function of :func:`normalised` alone. Fits on at most ``per_class`` documents
+    of each label, drawn by hash from the rows that may be
     learnt from, and scores every whole text. Only the text is looked at. Null and empty texts have
     no words and get the score of no evidence; without labels every score is 0.5; repeated rows are
-    scored each; an empty table gives no rows. Columns of ``docs`` stay, but for the three names.
+    scored each; an empty table gives no rows. Columns of ``docs`` stay, but for the three ``names``.
     """
     sample, sizes = labelled(docs, labels, "toxic", per_class)
     model = fitted(sample, lambda rows: fit_toxicity(rows, sizes))
-    keep = [c for c in docs.columns if c not in ("score", "predicted", "held_out")]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in runs(whole, "text"):
-                got = score_texts(model, batch.column("text").cast(pa.large_string()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(got)], [*keep, "score"])
-
-    rows = docs.select(*keep)
-    scored = rows.mapInArrow(score, rows.limit(0).withColumn("score", F.lit(0.0)).schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumn("held_out", id_remainder("doc_id", 5) == 0)
+    return scored(docs, lambda column: score_texts(model, column), threshold, names)

@@ -262,12 +262,6 @@ def test_scores_edges(score, docs, empty, labels):
     assert {r.score for r in score(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_held_out_accuracy(spark):
-    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = quality(documents, labels).where("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
-    assert sum(r.predicted == r.quality for r in got) >= 0.93 * len(got)
-
-
 # ---- suffix tree
 
 
