@@ -9,26 +9,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import running_start, saved
+from factloom.llm.common import removed, running_start, saved
 
 #: Vectors that one block of the first graph compares with one another, and nodes that one task group updates.
 BLOCK, CHUNK = 512, 256
 #: The graph is grown until a smaller share of its edges is new; queries that measure the search, and
-#: the share of their true neighbours that it must find.
-SETTLED, SAMPLE, RECALL = 0.01, 64, 0.95
+#: the share of their true neighbours that it must find; nodes that every search starts from.
+SETTLED, SAMPLE, RECALL, ENTRIES = 0.01, 64, 0.93, 32
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Rows (vec_id, v) that take part: no null, zero, or non-finite vector, all of the commonest length."""
+    """Rows (vec_id, v) that take part: those with an id whose vector is not null, zero, or non-finite."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(fine)
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (common["n"] if common else 0))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(fine)
+
+
+def scaled(rows: DataFrame, narrow: bool) -> tuple[DataFrame, float]:
+    """``rows`` with v multiplied by a power of two, the largest component then in 0.5 to 1, and the factor back.
+
+    So squares neither overflow nor vanish, and no digit changes. Components travel as floats where the
+    vectors were floats (``narrow``) and none is too small beside the largest one for it.
+    """
+    size = lambda x: F.abs(x)
+    got = rows.select(F.array_max(F.transform("v", size)).alias("most"), F.array_min(F.filter(F.transform("v", size), lambda x: x > 0)).alias("least"))
+    got = got.agg(F.max("most").alias("most"), F.min("least").alias("least")).first()
+    if got["most"] is None:
+        return rows, 1.0
+    power = int(np.clip(np.frexp(got["most"])[1], -1000, 1000))
+    kind = "float" if narrow and got["least"] > got["most"] * 2.0**-100 else "double"
+    return rows.withColumn("v", F.transform("v", lambda x: (x * F.lit(2.0**-power)).cast(kind))), 2.0**power
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.float32) if len(column) else np.zeros((0, 1), np.float32)
+    return np.array(column.tolist(), float) if len(column) else np.zeros((0, 1))
 
 
 def _top(owner: np.ndarray, other: np.ndarray, d: np.ndarray, fresh: np.ndarray, k: int) -> pd.DataFrame:
@@ -43,12 +57,13 @@ def _top(owner: np.ndarray, other: np.ndarray, d: np.ndarray, fresh: np.ndarray,
     return pd.DataFrame({"node": owner[best], "other": other[best], "d": d[best], "fresh": fresh[best]})
 
 
-_EDGE = "node long, other long, d float, fresh boolean"
+_EDGE = "node long, other long, d double, fresh boolean"
 
 
 def _distances(v: np.ndarray) -> np.ndarray:
+    v = v - v.mean(0)
     sq = (v * v).sum(-1)
-    return np.maximum(sq[..., :, None] + sq[..., None, :] - 2 * (v @ np.swapaxes(v, -1, -2)), 0).astype(np.float32)
+    return np.maximum(sq[:, None] + sq[None, :] - 2 * (v @ v.T), 0)
 
 
 def _blocks(nodes: DataFrame, dims: int, tables: int, k: int, n: int) -> DataFrame:
@@ -89,12 +104,17 @@ def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int | None = None, ta
     first = nodes.first()
     dims, n = (len(first["v"]), nodes.count()) if first else (1, 0)
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, n // CHUNK)))
+    paths: list[str] = []
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         return _top(*(rows[c].to_numpy() for c in ("node", "other", "d", "fresh")), k)
 
     def merged(edges: DataFrame) -> DataFrame:
-        return saved(edges.withColumn("chunk", chunk("node")).groupBy("chunk").applyInPandas(merge, _EDGE), "edges")
+        written: list[str] = []
+        out = saved(edges.withColumn("chunk", chunk("node")).groupBy("chunk").applyInPandas(merge, _EDGE), "edges", written)
+        removed(nodes.sparkSession, paths)
+        paths.extend(written)
+        return out
 
     def offer(rows: pd.DataFrame) -> pd.DataFrame:
         """Pairs among the members of each node, for the members that gain by them."""
@@ -120,7 +140,7 @@ def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int | None = None, ta
     edges = merged(_blocks(nodes, dims, tables, k, n))
     vectors = nodes.select(F.col("node").alias("other"), "v")
     for turn in count() if rounds is None else range(rounds):
-        radius = edges.groupBy("node").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf")).cast("float").alias("radius")).withColumnRenamed("node", "other")
+        radius = edges.groupBy("node").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf")).alias("radius")).withColumnRenamed("node", "other")
         chosen = F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("node", F.lit(turn))))
         back = edges.withColumn("_r", chosen).where(F.col("_r") <= k).select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh")
         members = edges.select("node", "other", "fresh").unionByName(back).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
@@ -152,52 +172,66 @@ def neighbours(nodes: DataFrame, graph: DataFrame) -> DataFrame:
     """Links (node, others, vs) of the graph in both directions with the vectors at their ends."""
     pair = nodes.select(F.col("node").alias("other"), "v")
     near = graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("other")))).where("_r <= 40").drop("_r")).distinct()
-    return saved(near.join(pair, "other").groupBy("node").agg(F.collect_list("other").alias("others"), F.collect_list(F.col("v").cast("array<float>")).alias("vs")), "links")
+    return saved(near.join(pair, "other").groupBy("node").agg(F.collect_list("other").alias("others"), F.collect_list("v").alias("vs")), "links")
 
 
-def true_nearest(nodes: DataFrame, starts: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest other nodes (query, other) of a few ``starts`` (query, qv, other), by all distances."""
-    asked = starts.collect()
-    own, qv = np.array([x["other"] for x in asked], np.int64), np.array([x["qv"] for x in asked], float)
+def true_nearest(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest nodes (query, other) but its own of a few ``queries`` (query, qv, own), by all distances."""
+    asked = queries.collect()
+    own, qv = [x["own"] for x in asked], np.array([x["qv"] for x in asked], float)
+    names = [x["query"] for x in asked]
 
     def near(parts):
         for rows in parts:
-            ids, v = rows["node"].to_numpy(), np.array(rows["v"].tolist(), float)
-            for i in range(len(own)):
-                d = np.where(ids == own[i], np.inf, ((v - qv[i]) ** 2).sum(1))
+            ids, v = rows["node"].to_numpy(), _matrix(rows["v"])
+            for i, name in enumerate(names):
+                d = ((v - qv[i]) ** 2).sum(1)
+                if own[i] is not None:
+                    d = np.where(ids == own[i], np.inf, d)
                 best = np.lexsort((ids, d))[:k]
                 best = best[np.isfinite(d[best])]
-                yield pd.DataFrame({"query": own[i], "other": ids[best], "d": d[best]})
+                yield pd.DataFrame({"query": name, "other": ids[best], "d": d[best]})
 
     met = nodes.select("node", "v").mapInPandas(near, "query long, other long, d double")
     return met.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("d", "other"))).where(F.col("_r") <= k).select("query", "other")
 
 
-def wide_enough(nodes: DataFrame, links: DataFrame, starts: DataFrame, k: int, ef: int) -> int:
-    """``ef`` or the first of its doubles that finds 95 % of the true neighbours of 64 queries; at most the number of nodes."""
-    sample = saved(starts.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
+def wide_enough(nodes: DataFrame, links: DataFrame, queries: DataFrame, k: int, ef: int) -> int:
+    """``ef``, or the first width, half as much again each time, that finds 93 % of the true neighbours of 64 queries.
+
+    The 64 are those of least hash and are held against all nodes, 64 distances a node whatever the table.
+    """
+    sample = saved(queries.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
     true, n = saved(true_nearest(nodes, sample, k), "true"), nodes.count()
     wanted = true.count()
-    while ef < n and search(links, sample, ef).join(true, ["query", "other"], "left_semi").count() < RECALL * wanted:
-        ef *= 2
+    while ef < n and search(nodes, links, sample, ef).join(true, ["query", "other"], "left_semi").count() < RECALL * wanted:
+        ef += -(-ef // 2)
     return ef
 
 
-def search(links: DataFrame, starts: DataFrame, ef: int = 512) -> DataFrame:
-    """Nodes (query, other, d) that a greedy search from ``starts`` (query, qv, other) meets, the ``ef`` nearest.
+def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, ef: int) -> DataFrame:
+    """Nodes (query, other, d) that a greedy search for ``queries`` (query, qv) meets, the ``ef`` nearest.
 
-    Each step expands the nearest nodes of every query that it has not visited among its ``ef``
-    nearest, 64 or an eighth of ``ef``, by a join with the graph, until none is left.
+    Every search starts from the same 32 nodes, those of least hash. Each step expands the nearest
+    nodes of every query that it has not visited among its ``ef`` nearest, 16 or an eighth of ``ef``,
+    by a join with the graph, until none is left.
     """
-    width = max(64, ef // 8)
-    queries = saved(starts.select("query", F.col("qv").cast("array<float>").alias("qv")), "queries")
+    width = max(16, ef // 8)
+    queries = saved(queries.select("query", "qv"), "queries")
     n = queries.count()
     chunk = F.pmod(F.xxhash64("query"), F.lit(max(1, n // 16)))
+    gates = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
+    gate, at = np.array([x["node"] for x in gates], np.int64), np.array([x["v"] for x in gates], float)
+
+    def begin(parts):
+        for rows in parts:
+            for query, qv in zip(rows["query"], rows["qv"], strict=True):
+                yield pd.DataFrame({"query": query, "other": gate, "d": ((at - np.asarray(qv, float)) ** 2).sum(1), "visited": False, "next": False})
 
     def measure(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for query, qv, others, vs in zip(rows["query"], rows["qv"], rows["others"], rows["vs"], strict=True):
-            diff = np.array(vs.tolist(), np.float32) - np.asarray(qv, np.float32)
+            diff = np.array(vs.tolist(), float) - np.asarray(qv, float)
             out.append((np.full(len(others), query), np.asarray(others), (diff * diff).sum(1)))
         q, o, d = (np.concatenate(x) for x in zip(*out, strict=True))
         best = _top(q, o, d, np.zeros(len(q), bool), ef)
@@ -206,55 +240,89 @@ def search(links: DataFrame, starts: DataFrame, ef: int = 512) -> DataFrame:
     def update(rows: pd.DataFrame) -> pd.DataFrame:
         return _state(rows, ef, width)
 
-    schema = "query long, other long, d float, visited boolean, next boolean"
-    own = starts.select("query", "other", F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("visited"))
-    state = saved(own.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(update, schema), "state")
+    schema = "query long, other long, d double, visited boolean, next boolean"
+    paths: list[str] = []
+    started = queries.mapInPandas(begin, schema)
+    state = saved(started.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(update, schema), "state", paths)
     while True:
         front = state.where("next").select("query", F.col("other").alias("node"))
         if front.isEmpty():
             break
-        found = front.join(links, "node").join(F.broadcast(queries) if n <= 20_000 else queries, "query").withColumn("chunk", chunk)
-        found = found.groupBy("chunk").applyInPandas(measure, "query long, other long, d float")
+        found = front.join(links, "node").join(F.broadcast(queries) if n * max(1, at.shape[-1]) <= 1_000_000 else queries, "query").withColumn("chunk", chunk)
+        found = found.groupBy("chunk").applyInPandas(measure, "query long, other long, d double")
         old = state.select("query", "other", "d", (F.col("visited") | F.col("next")).alias("visited"))
         both = old.unionByName(found.withColumn("visited", F.lit(False))).withColumn("chunk", chunk)
-        state = saved(both.groupBy("chunk").applyInPandas(update, schema), "state")
+        written: list[str] = []
+        state = saved(both.groupBy("chunk").applyInPandas(update, schema), "state", written)
+        removed(nodes.sparkSession, paths)
+        paths = written
     return state.select("query", "other", "d")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 512, degree: int = 20, rounds: int | None = None) -> DataFrame:
-    """The ``k`` nearest found of each query row: query_id, rank, vec_id, score (Euclidean distance).
-
-    Every usable row is indexed; equal vectors are one node of the graph, and of a node the ``k + 1``
-    smallest ids can be results. The graph search starts at the query's own node; its width
-    starts at ``ef`` and doubles until it finds 95 % of the true neighbours of 64 of the queries, which
-    are held against all nodes. Distances of the
-    nodes found are computed again from the original vectors in double precision; nearest first,
-    equal ones by smaller id. The query itself is no candidate.
-
-    Null, zero, and non-finite vectors take no part; fewer candidates give fewer rows; rows that
-    repeat an id count once; an empty table gives no rows.
-    """
-    rows = saved(usable(vectors).dropDuplicates(["vec_id"]), "vectors")
+def _ranked(rows: DataFrame, queries: DataFrame, k: int, ef: int, degree: int, rounds: int | None, narrow: bool) -> DataFrame:
+    """The ``k`` nearest of ``queries`` (query_id, v, own: its vec_id if it is a row) among ``rows`` (vec_id, v) of one length."""
+    both, back = scaled(rows.select("vec_id", "v", F.lit(False).alias("asks"), F.lit(None).cast("long").alias("own")).unionByName(
+        queries.select(F.col("query_id").alias("vec_id"), "v", F.lit(True).alias("asks"), "own")), narrow)
+    both = saved(both, "vectors")
+    rows = both.where("not asks").select("vec_id", "v")
     groups = saved(rows.groupBy("v").agg(F.min("vec_id").alias("node")), "nodes")
     nodes = groups.select("node", "v")
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     members = rows.withColumn("_r", rank).where(F.col("_r") <= k + 1).join(groups, "v").select("node", "vec_id")
-    queries = saved(rows.where(is_query).join(groups, "v").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("node").alias("other")), "asked")
-    # equal vectors ask once
-    asked = queries.groupBy("other").agg(F.first("qv").alias("qv")).select(F.col("other").alias("query"), "qv", "other")
+    # equal vectors ask once; a vector that is in the table knows its node
+    queries = saved(both.where("asks").select(F.col("vec_id").alias("query_id"), "v", "own").join(groups.withColumnRenamed("node", "here"), "v", "left"), "asked")
+    asked = saved(queries.groupBy("v").agg(F.min("query_id").alias("query"), F.min("here").alias("own")).select("query", F.col("v").alias("qv"), "own"), "starts")
     graph = neighbour_graph(nodes, degree, rounds)
-    links, asked = neighbours(nodes, graph), saved(asked, "starts")
-    found = search(links, asked, wide_enough(nodes, links, asked, k, ef))
+    links = neighbours(nodes, graph)
+    found = search(nodes, links, asked, wide_enough(nodes, links, asked, k, ef))
     close = found.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("d", "other"))).where(F.col("_r") <= 4 * k + 1)
+    apart = F.zip_with("qv", "cv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
     exact = (
-        close.select(F.col("query").alias("qnode"), F.col("other").alias("node"))
+        close.select("query", F.col("other").alias("node"))
         .join(nodes.withColumnRenamed("v", "cv"), "node")
-        .join(nodes.select(F.col("node").alias("qnode"), F.col("v").alias("qv")), "qnode")
-        .withColumn("score", F.sqrt(F.aggregate(F.zip_with("qv", "cv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)))
-        .select("qnode", "node", "score")
+        .join(asked.select("query", "qv"), "query")
+        .withColumn("score", F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x)) * F.lit(back))
+        .select("query", "node", "score")
     )
-    order = F.row_number().over(Window.partitionBy("qnode").orderBy("score", "vec_id"))
-    short = exact.join(members, "node").withColumn("_r", order).where(F.col("_r") <= k + 1).select("qnode", "vec_id", "score")
-    pairs = queries.select(F.col("query").alias("query_id"), F.col("other").alias("qnode")).join(short, "qnode").where("query_id != vec_id")
+    order = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+    short = exact.join(members, "node").withColumn("_r", order).where(F.col("_r") <= k + 1).select("query", "vec_id", "score")
+    who = queries.join(asked.select("query", F.col("qv").alias("v")), "v").select("query_id", "own", "query")
+    pairs = who.join(short, "query").where(F.col("own").isNull() | (F.col("own") != F.col("vec_id")))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 64, degree: int = 20, rounds: int | None = None) -> DataFrame:
+    """The ``k`` nearest found of each query row: query_id, rank, vec_id, score (Euclidean distance).
+
+    Every usable row is indexed; equal vectors are one node of the graph, and of a node the ``k + 1``
+    smallest ids can be results. The graph search starts from the same 32 nodes for all queries; its
+    width starts at ``ef`` and grows until it finds 93 % of the true neighbours of 64 of the queries,
+    which are held against all nodes. Distances are computed in double precision on the vectors, of any
+    scale; nearest first, equal ones by smaller id. The query itself is no candidate.
+
+    Null, zero, and non-finite vectors take no part; a vector has neighbours among those of its own
+    length, so each length is a table for itself. Fewer candidates give fewer rows; rows that
+    repeat an id count once, the smallest vector stands; an empty table gives no rows. Other columns are not looked at.
+    """
+    rows = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = saved(rows.withColumn("asks", F.coalesce(is_query, F.lit(False))), "vectors")
+    queries = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v", F.col("vec_id").alias("own"))
+    return _by_length(vectors, rows, queries, k, ef, degree, rounds)
+
+
+def nearest_to(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64, degree: int = 20, rounds: int | None = None) -> DataFrame:
+    """As :func:`nearest`, for ``queries`` (query_id, embedding) that need not be rows of the table; none is excluded."""
+    rows = saved(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    asked = usable(queries, "query_id").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    return _by_length(vectors, rows, saved(asked.withColumn("own", F.lit(None).cast("long")), "queries"), k, ef, degree, rounds)
+
+
+def _by_length(vectors: DataFrame, rows: DataFrame, queries: DataFrame, *options) -> DataFrame:
+    narrow = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    lengths = sorted(r["n"] for r in queries.select(F.size("v").alias("n")).distinct().collect())
+    found = None
+    for n in lengths:
+        part = _ranked(rows.where(F.size("v") == n).select("vec_id", "v"), queries.where(F.size("v") == n), *options, narrow)
+        found = part if found is None else found.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
