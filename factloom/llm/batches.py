@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import new_path, partitions
 from factloom.llm.encoding import runs
-from factloom.llm.spans import LOWER, span_hashes, text_bytes, word_spans
+from factloom.llm.spans import LOWER, mixed64, span_hashes, sums_by_text, text_bytes, word_spans
 
 U = np.uint64
 #: Bytes of text in a batch, about.
 BATCH_BYTES = 12_000_000
+#: Bytes of a count on its way, enough for 280 million million occurrences.
+COUNT = 6
 
 
 def saved_by(df: DataFrame, name: str, key: str, paths: list[str] | None = None) -> DataFrame:
@@ -43,7 +45,8 @@ def word_batches(docs: DataFrame, mark: str | None = None, paths: list[str] | No
 
     Columns: batch, uid (number of its first document; the others follow), n_words, doc_ids,
     counts (int32 words of each document), marks (a byte each), words (sorted 64-bit hashes), codes
-    (uint32 place in words of each word).
+    (uint32 place in words of each word), same (two 64-bit hashes of the words of each document in
+    their order, one after the other).
     """
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,16 +61,20 @@ def word_batches(docs: DataFrame, mark: str | None = None, paths: list[str] | No
                 n = part.num_rows
                 marks = part.column("mark").fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)
                 ids = part.column("doc_id")
+                counts = np.bincount(text, minlength=n)
+                place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+                same = np.stack([sums_by_text(mixed64(words[codes.reshape(-1)] ^ mixed64(place.astype(U) + U(seed))), text, n) for seed in (1, 1 << 40)], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([uid]), pa.array([len(codes)]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids),
-                     pa.array([np.bincount(text, minlength=n).astype(np.int32).tobytes()], pa.binary()), pa.array([marks.tobytes()], pa.binary()),
-                     pa.array([words.tobytes()], pa.binary()), pa.array([codes.reshape(-1).astype(np.uint32).tobytes()], pa.binary())],
-                    ["batch", "uid", "n_words", "doc_ids", "counts", "marks", "words", "codes"])
+                     pa.array([counts.astype(np.int32).tobytes()], pa.binary()), pa.array([marks.tobytes()], pa.binary()),
+                     pa.array([words.tobytes()], pa.binary()), pa.array([codes.reshape(-1).astype(np.uint32).tobytes()], pa.binary()),
+                     pa.array([same.view(np.int64).ravel()], pa.list_(pa.int64()))],
+                    ["batch", "uid", "n_words", "doc_ids", "counts", "marks", "words", "codes", "same"])
                 uid, number = uid + n, number + 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), (F.col(mark) if mark else F.lit(True)).alias("mark"))
-    schema = f"batch long, uid long, n_words long, doc_ids array<{kind}>, counts binary, marks binary, words binary, codes binary"
+    schema = f"batch long, uid long, n_words long, doc_ids array<{kind}>, counts binary, marks binary, words binary, codes binary, same array<long>"
     return saved_by(rows.mapInArrow(cut, schema), "word_batches", "batch", paths)
 
 
@@ -87,10 +94,16 @@ def unpack(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket starts and the last ends in sorted ``hashes``; buckets are equal ranges."""
-    bounds = [(i << 64) // buckets for i in range(1, buckets)]
-    return np.concatenate([[0], np.searchsorted(hashes, np.array(bounds, U)), [len(hashes)]])
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash; buckets (under 2^32) are equal ranges of the upper 32 bits."""
+    return ((hashes >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
+def bucket_runs(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of the buckets that sorted ``hashes`` are in."""
+    bucket = bucket_of(hashes, buckets)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(bucket[first].tolist(), first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=True))
 
 
 def count_buckets(batches: DataFrame, words_each: int = 2_000_000) -> int:
@@ -100,8 +113,7 @@ def count_buckets(batches: DataFrame, words_each: int = 2_000_000) -> int:
 
 def ask_counts(batch: int, hashes: np.ndarray, counts: np.ndarray, buckets: int, width: int = 6) -> pd.DataFrame:
     """Questions of one batch for the corpus counts of its sorted distinct hashes."""
-    edges = bucket_edges(hashes, buckets)
-    rows = [(b, batch, pack(hashes[i:j], width), pack(counts[i:j], 4)) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i]
+    rows = [(b, batch, pack(hashes[i:j], width), pack(counts[i:j], COUNT)) for b, i, j in bucket_runs(hashes, buckets)]
     return pd.DataFrame(rows, columns=["bucket", "batch", "keys", "counts"])
 
 
@@ -119,11 +131,11 @@ def answer_counts(asked: DataFrame, width: int = 6) -> DataFrame:
         keys = [unpack(x, width) for x in rows["keys"]]
         _, back = np.unique(np.concatenate(keys), return_inverse=True)
         back = back.reshape(-1)
-        totals = np.bincount(back, np.concatenate([unpack(x, 4) for x in rows["counts"]]).astype(float)).astype(np.uint64)
+        totals = np.bincount(back, np.concatenate([unpack(x, COUNT) for x in rows["counts"]]).astype(float)).astype(np.uint64)
         edges = np.cumsum([0, *map(len, keys)])
         first = np.arange(len(rows)) == 0
         return pd.DataFrame({
-            "batch": rows["batch"], "bucket": rows["bucket"], "counts": [pack(totals[back[i:j]], 4) for i, j in zip(edges, edges[1:], strict=False)],
+            "batch": rows["batch"], "bucket": rows["bucket"], "counts": [pack(totals[back[i:j]], COUNT) for i, j in zip(edges, edges[1:], strict=False)],
             "n_keys": np.where(first, int((totals > 0).sum()), 0), "n_all": np.where(first, int(totals.sum()), 0)})
 
     return asked.groupBy("bucket").applyInPandas(add, "batch long, bucket int, counts binary, n_keys long, n_all long")
