@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import ASK, answer_counts, ask_counts, count_buckets, pack, read, unpack, word_batches
-from factloom.llm.common import removed, saved
+from factloom.llm.batches import ASK, COUNT, ask_counts, count_buckets, pack, read, unpack, word_batches
+from factloom.llm.common import fresh_names, quoted, removed, saved
 from factloom.llm.components import components
 from factloom.llm.spans import mixed64
 
@@ -19,6 +19,10 @@ BANDS, ROWS = 8, 3
 GROUP = 64
 #: Centres of a bucket in a round are so many times those of the round before; shingles of a group held as one table.
 WIDER, TABLE = 16, 1 << 15
+#: Bits of a text's sketch.
+SKETCH = 24
+#: Tasks that the members of one band are dealt to where they are joined with what is known of the band.
+SALTS = 16
 #: Weights are whole powers of this, kept in two bytes.
 STEP = 1.005
 
@@ -46,10 +50,32 @@ def shingles(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return keys, both[head] & 0xFFFFFFFF, both[head] >> 32, np.diff(np.append(head, len(both)))
 
 
-def weigh(times: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
-    """TF-IDF in steps of 0.5 %: times * (1 + ln(n / df) / (4 ln n)). The second factor is 1 to 1.25, so
-    that a group of thousands of copies, whose shingles are frequent by that, keeps its likeness."""
-    idf = 1 + 0.25 * np.log(max(n_docs, 2) / np.maximum(df, 1)) / np.log(max(n_docs, 2))
+def sketches(keys: np.ndarray, code: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of the text of each shingle, 24 bits of its least shingle hash (one min-hash)."""
+    first = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+    least = mixed64(keys[code[first]]) & U((1 << SKETCH) - 1)
+    return least.astype(np.int64)[np.cumsum(first) - 1]
+
+
+def answer_kinds(asked: DataFrame) -> DataFrame:
+    """Answers (batch, bucket, counts): with how many sketches, over all batches, each shingle asked for occurs."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpack(x, 6) for x in rows["keys"]]
+        flat, mark = np.concatenate(keys), np.concatenate([unpack(x, COUNT) for x in rows["counts"]])
+        names, back = np.unique(flat, return_inverse=True)
+        back = back.reshape(-1)
+        one = np.unique(mixed64(flat ^ mixed64(mark + U(1))), return_index=True)[1]
+        kinds = np.bincount(back[one], minlength=len(names))
+        edges = np.cumsum([0, *map(len, keys)])
+        return pd.DataFrame({"batch": rows["batch"], "bucket": rows["bucket"], "counts": [pack(kinds[back[i:j]], COUNT) for i, j in zip(edges, edges[1:], strict=False)]})
+
+    return asked.groupBy("bucket").applyInPandas(add, "batch long, bucket int, counts binary")
+
+
+def weigh(times: np.ndarray, df: np.ndarray, n_texts: int) -> np.ndarray:
+    """TF-IDF, times * (1 + ln((1 + n) / (1 + df))), in steps of 0.5 %, df in kinds of texts."""
+    idf = 1 + np.log((1 + n_texts) / (1 + np.maximum(df, 1)))
     return np.clip(np.round(np.log(times * np.maximum(idf, 1)) / np.log(STEP)), 0, 65535).astype(np.uint16)
 
 
@@ -93,129 +119,147 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, weights: np.ndarray, n: int)
     return out
 
 
-def _batch_answers(rows: pd.DataFrame) -> np.ndarray:
-    if not len(rows):
-        return np.zeros(0, np.int64)
-    return np.concatenate([unpack(x, 4) for x in rows.sort_values("bucket")["counts"]]).astype(np.int64)
+def _only(row: pd.Series, uids: pd.Series) -> pd.Series:
+    """The batch ``row`` with the words of the documents ``uids`` alone."""
+    counts, codes = read(row["counts"], np.int32), read(row["codes"], np.uint32)
+    mine = np.zeros(len(counts), bool)
+    mine[uids.astype(np.int64).to_numpy() - row["uid"]] = True
+    return pd.Series({"words": row["words"], "codes": codes[np.repeat(mine, counts)].tobytes(), "counts": np.where(mine, counts, 0).astype(np.int32).tobytes()})
+
+
+def _weighed(row: pd.Series, got: pd.DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, documents and weights of the shingles of the texts of a batch, from the answers ``got``."""
+    keys, code, doc, times = shingles(_only(row, got["uid"].dropna()))
+    answers = got[got["uid"].isna()].sort_values("bucket")["counts"]
+    df = np.concatenate([unpack(x, COUNT) for x in answers]).astype(np.int64) if len(answers) else np.zeros(0, np.int64)
+    # a shingle was asked about once for each of its sketches
+    df = df[np.unique(np.unique(code << SKETCH | sketches(keys, code, doc)) >> SKETCH, return_index=True)[1]]
+    return keys[code], doc, weigh(times, df[code], n_texts)
+
 
+def _dealt(rows: DataFrame, salt: str = "salt") -> DataFrame:
+    """``rows`` of (band, text) with a salt by the text, which spreads a band over several tasks."""
+    return rows.withColumn(salt, F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
 
-def _weighed(row: pd.Series, got: pd.DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, code, doc, times = shingles(row)
-    df = _batch_answers(got)
-    return keys[code], doc, weigh(times, df[code], n_docs)
+
+def _every_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def near_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The near-duplicate class of every document: doc_id, class_id, class_size, kept.
+    """The near-duplicate class of every document: doc_id, class_id, class_size, kept, uid (a number of the row).
 
     Weighted Jaccard similarity of TF-IDF shingles of five words (A-Z lower-cased) of ``similar`` or
     more links two documents; classes are the connected parts of verified links; class_id is the
-    smallest doc_id and that document is kept. Document frequencies are counted over all documents.
+    smallest doc_id and that document is kept.
+
+    Documents with the same words in the same order (by two 64-bit hashes) are one text, and only one
+    of them is compared. Document frequencies count texts over all documents, but texts that share
+    their least shingle hash once: so a group of thousands of near copies does not make its own
+    shingles common, and its members not unlike each other.
 
     Samples of :func:`signatures` in 8 bands of 3 propose: a pair of similarity 0.8 shares a band
-    with probability 0.997. In each band's bucket one document is the centre and every other is held
-    against it; identical texts need no check. Buckets whose members are still apart go on with 16
+    with probability 0.997. In each band's bucket one text is the centre and every other is held
+    against it. Buckets whose members are still apart go on with 16
     times as many centres a round, drawn from all but their largest class, each held against all
     members of other classes that were no centre before. A bucket is done when those that were no
     centre are of one class, so every two documents that share a bucket are of one class or were held
     against each other. A bucket costs its size for each document outside its largest class.
 
     Null and empty texts have no shingles and are a class each; a text under five words is one
-    shingle. Rows that repeat an id come out each, in their text's class; the first of them is kept.
-    An empty table gives no rows. A centre is copied for every 64 members, so no task gets more.
+    shingle. Rows that repeat an id come out each, in their text's class; the first of them is kept,
+    a null id before all others. An empty table gives no rows. Bands are joined by band and salt, a
+    centre is copied for every 64 members, so no task gets a whole large bucket.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     spark, paths = docs.sparkSession, []
     batches = word_batches(docs, paths=paths)
     buckets = count_buckets(batches)
-    n_docs = batches.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
-
-    def ask(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    places = F.posexplode("doc_ids").alias("place", "doc_id")
+    named = batches.select("batch", F.col("uid").alias("first"), "same", places).select(
+        "batch", (F.col("first") + F.col("place")).alias("uid"), "doc_id", F.element_at("same", 2 * F.col("place") + 1).alias("same1"), F.element_at("same", 2 * F.col("place") + 2).alias("same2"))
+    named = saved(named, "named", paths)
+    full = named.where("same1 != 0 or same2 != 0")
+    texts = saved(full.groupBy("same1", "same2").agg(F.min(F.struct("uid", "batch")).alias("one")).select("same1", "same2", F.col("one.uid").alias("text"), F.col("one.batch").alias("batch")), "texts", paths)
+    n_texts = texts.count()
+    asked = texts.select("batch", F.col("text").alias("uid"))
+
+    def ask(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=["bucket", "batch", "keys", "counts"])]
         for _, row in rows.iterrows():
-            keys, code, _, _ = shingles(row)
-            out.append(ask_counts(row["batch"], keys, np.bincount(code, minlength=len(keys)), buckets))
+            keys, code, doc, _ = shingles(_only(row, mine["uid"]))
+            pair = np.unique(code << SKETCH | sketches(keys, code, doc))
+            out.append(ask_counts(row["batch"], keys[pair >> SKETCH], pair & (1 << SKETCH) - 1, buckets))
         return pd.concat(out)
 
-    df = saved(answer_counts(batches.groupBy("batch").applyInPandas(ask, ASK)).select("batch", "bucket", "counts"), "shingle_counts", paths)
+    questions = batches.groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(ask, ASK)
+    df = saved(answer_kinds(questions), "shingle_counts", paths)
+
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """Answers and, in rows of their own, the texts that are wanted."""
+        return df.withColumn("uid", F.lit(None).cast("long")).unionByName(wanted, allowMissingColumns=True)
 
     def sample(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame(columns=["text", "bands"])]
         for _, row in rows.iterrows():
-            s, doc, w = _weighed(row, got, n_docs)
-            n = len(row["doc_ids"])
-            sig = signatures(s, doc, w, n)
-            bands = sig.reshape(n, BANDS, ROWS)
-            key = np.zeros((n, BANDS), U)
+            s, doc, w = _weighed(row, got, n_texts)
+            mine = got["uid"].dropna().astype(np.int64).to_numpy() - row["uid"]
+            bands = signatures(s, doc, w, len(row["doc_ids"]))[mine].reshape(len(mine), BANDS, ROWS)
+            key = np.zeros((len(mine), BANDS), U)
             for r in range(ROWS):
                 key = mixed64(key * U(0x9E3779B97F4A7C15) + bands[:, :, r] + U(r + 1))
-            key ^= mixed64(np.arange(BANDS).astype(U))
-            key = mixed64(key)
-            total = np.bincount(doc, minlength=n)
-            mark = mixed64(s + w.astype(U))
-            whole = np.zeros(n, U)
-            np.add.at(whole, doc, mark)
-            out.append(pd.DataFrame({"uid": row["uid"] + np.arange(n), "batch": row["batch"], "doc_id": list(row["doc_ids"]), "n_shingles": total,
-                                     "same": whole.view(np.int64), "bands": list(key.view(np.int64))}))
+            key = mixed64(key ^ mixed64(np.arange(BANDS).astype(U)))
+            out.append(pd.DataFrame({"text": mine + row["uid"], "bands": list(key.view(np.int64))}))
         return pd.concat(out)
 
-    schema = f"uid long, batch long, doc_id {kind}, n_shingles long, same long, bands array<long>"
-    signed = saved(batches.groupBy("batch").cogroup(df.groupBy("batch")).applyInPandas(sample, schema), "signatures", paths)
-    # texts of equal weighted shingles are one text here: the smallest number stands for them
-    full = signed.where("n_shingles > 0")
-    texts = full.groupBy("same", "n_shingles").agg(F.min("uid").alias("text"), F.first("bands").alias("bands"))
-    texts = saved(texts, "texts", paths)
-    banded = texts.select("text", F.explode("bands").alias("band"))
-    shared = saved(banded.join(banded.groupBy("band").count().where("count > 1").select("band"), "band"), "banded", paths)
-    sets = saved(weighted_sets(batches, df, shared.select("text").distinct().join(full.select(F.col("uid").alias("text"), "batch"), "text"), n_docs), "sets", paths)
-    links, apart, turn = None, shared, 0
+    signed = batches.groupBy("batch").cogroup(with_texts(asked).groupBy("batch")).applyInPandas(sample, "text long, bands array<long>")
+    banded = _dealt(saved(signed, "signatures", paths).select("text", F.explode("bands").alias("band")))
+    parts = banded.groupBy("band", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("centre"))
+    heads = parts.groupBy("band").agg(F.sum("n").alias("n"), F.min("centre").alias("centre"), F.collect_set("salt").alias("salts")).where("n > 1")
+    shared = saved(banded.join(heads.select("band", "centre", F.explode("salts").alias("salt")), ["band", "salt"]), "banded", paths)
+    members = shared.select("text").distinct().join(texts.select("text", "batch"), "text")
+    sets = saved(weighted_sets(batches, with_texts(asked), members, n_texts), "sets", paths)
+    pairs = shared.where("text != centre").select("centre", "text").distinct()
+    links = saved(verified(sets, saved(pairs, "pairs", paths), similar), "verified", paths)
+    apart, turn = shared.where("text != centre").select("band", "text", "salt"), 0
     roots = shared.select(F.col("text").alias("node")).distinct().withColumn("root", F.col("node"))
+    found = links
     while True:
-        placed = apart.join(roots, F.col("text") == F.col("node")).select("band", "text", "root")
+        if not found.isEmpty():
+            got = components(links)
+            roots = saved(roots.select("node").join(got, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots", paths)
+        placed = apart.join(roots, F.col("text") == F.col("node")).select("band", "text", "salt", "root")
         # who was a centre has met all others: a bucket is done when the rest of it is of one class
         classes = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("n", "root")).alias("most"))
-        placed = saved(placed.join(classes.where("n > 1").select("band", F.col("most.root").alias("largest")), "band"), "placed", paths)
+        placed = saved(placed.join(_every_salt(classes.where("n > 1").select("band", F.col("most.root").alias("largest"))), ["band", "salt"]), "placed", paths)
         if placed.isEmpty():
             break
-        order = [F.xxhash64("text", F.lit(turn))] if turn else []
-        place = F.row_number().over(Window.partitionBy("band").orderBy(*order, "text"))
-        centres = placed.where("root != largest").withColumn("_r", place).where(F.col("_r") <= WIDER**turn)
-        centres = saved(centres.select("band", "text", "root"), "centres", paths)
-        if turn:
-            found = saved(tiled(sets, placed, centres, similar), "verified", paths)
-        else:
-            heads = centres.select("band", F.col("text").alias("centre"), F.col("root").alias("centre_root"))
-            pairs = placed.join(heads, "band").where("root != centre_root").select(
-                F.least("centre", "text").alias("x"), F.greatest("centre", "text").alias("y"), "centre", "text").dropDuplicates(["x", "y"])
-            found = saved(verified(sets, saved(pairs, "pairs", paths), similar), "verified", paths)
-        apart = placed.select("band", "text").join(centres.select("band", "text"), ["band", "text"], "left_anti")
         turn += 1
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        got = components(links)
-        roots = saved(roots.select("node").join(got, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots", paths)
-    out = full.select("uid", "doc_id", "same", "n_shingles").join(texts.select("same", "n_shingles", "text"), ["same", "n_shingles"])
+        place = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("text", F.lit(turn)), "text"))
+        centres = placed.where("root != largest").withColumn("_r", place).where(F.col("_r") <= WIDER**turn)
+        centres = saved(centres.select("band", "text", "salt", "root"), "centres", paths)
+        found = saved(tiled(sets, placed, centres, similar), "verified", paths)
+        apart = placed.select("band", "text", "salt").join(centres.select("band", "text"), ["band", "text"], "left_anti")
+        links = links.unionByName(found)
+    out = full.select("uid", "doc_id", "same1", "same2").join(texts.select("same1", "same2", "text"), ["same1", "same2"])
     out = out.join(roots.withColumnRenamed("node", "text"), "text", "left").select("uid", "doc_id", F.coalesce("root", "text").alias("class"))
-    alone = signed.where("n_shingles = 0").select("uid", "doc_id", F.col("uid").alias("class"))
+    alone = named.where("same1 = 0 and same2 = 0").select("uid", "doc_id", F.col("uid").alias("class"))
     every = saved(out.unionByName(alone), "classes")
     removed(spark, paths)
     best = saved(every.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct("doc_id", "uid")).alias("best")), "best")
     return every.join(best, "class").select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "uid")
 
 
-def weighted_sets(batches: DataFrame, df: DataFrame, wanted: DataFrame, n_docs: int) -> DataFrame:
-    """(uid, keys, weights): the weighted shingles of the documents ``wanted`` (text, batch), six bytes a hash."""
-    asked = df.withColumn("uid", F.lit(None).cast("long")).unionByName(
-        wanted.select("batch", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("counts"), F.col("text").alias("uid")))
+def weighted_sets(batches: DataFrame, answers: DataFrame, wanted: DataFrame, n_texts: int) -> DataFrame:
+    """(uid, keys, weights): the weighted shingles of the texts ``wanted`` (text, batch), six bytes a hash."""
+    asked = answers.withColumn("wanted", F.lit(None).cast("long")).unionByName(wanted.select("batch", F.col("text").alias("wanted")), allowMissingColumns=True)
 
     def send(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         out = []
-        ask = got["uid"].dropna().astype(np.int64)
+        ask, got = got["wanted"].dropna().astype(np.int64), got[got["wanted"].isna()]
         for _, row in rows.iterrows():
             if not len(ask):
                 continue
-            s, doc, w = _weighed(row, got[got["uid"].isna()], n_docs)
+            s, doc, w = _weighed(row, got, n_texts)
             edges = np.searchsorted(doc, np.arange(len(row["doc_ids"]) + 1))
             for uid in ask:
                 a, b = edges[uid - row["uid"]], edges[uid - row["uid"] + 1]
@@ -256,16 +300,16 @@ def verified(sets: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
 
 
 def tiled(sets: DataFrame, members: DataFrame, centres: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) of at least ``similar`` between ``centres`` and ``members`` (band, text, root) of one band and different roots.
+    """Links (a, b) of at least ``similar`` between ``centres`` and ``members`` (band, text, salt, root) of one band and different roots.
 
     A group holds about 64 of either, so a set travels once for about 64 comparisons.
     """
     n = lambda name: F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias(name)
-    parts = members.groupBy("band").agg(n("rows")).join(centres.groupBy("band").agg(n("columns")), "band")
+    parts = _every_salt(members.groupBy("band").agg(n("rows")).join(centres.groupBy("band").agg(n("columns")), "band"))
     deal = lambda seed, by: F.pmod(F.xxhash64("text", F.lit(seed)), F.col(by)).cast("int")
     each = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
-    across = members.join(parts, "band").select("band", "text", "root", deal(1, "rows").alias("row"), each("columns").alias("column"), F.lit(False).alias("centre"))
-    down = centres.join(parts, "band").select("band", "text", "root", each("rows").alias("row"), deal(2, "columns").alias("column"), F.lit(True).alias("centre"))
+    across = members.join(parts, ["band", "salt"]).select("band", "text", "root", deal(1, "rows").alias("row"), each("columns").alias("column"), F.lit(False).alias("centre"))
+    down = centres.join(parts, ["band", "salt"]).select("band", "text", "root", each("rows").alias("row"), deal(2, "columns").alias("column"), F.lit(True).alias("centre"))
     met = across.unionByName(down).join(sets.withColumnRenamed("uid", "text"), "text")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -294,13 +338,15 @@ def tiled(sets: DataFrame, members: DataFrame, centres: DataFrame, similar: floa
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate class, columns as they were.
+    """``docs`` with one document of each near-duplicate class, columns as they were, whatever their names.
 
     Every row is judged by its own number, so rows that repeat an id or have none are told apart; of a
-    class the row of the smallest id stays, of several such the first by number.
+    class the row of the smallest id stays (a null id comes first), of several such the first by
+    number. Texts without words are no copies of one another. An empty table gives no rows.
     """
-    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_groups(rows.select(F.col("_row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("_row"), "class_id")
-    ids = found.join(rows.select("_row", "doc_id"), "_row")
-    kept = ids.groupBy("class_id").agg(F.min(F.struct("doc_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    (row,) = fresh_names(docs, "row")
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_groups(rows.select(F.col(row).alias("doc_id"), "text"), **options).select(F.col("doc_id").alias(row), "class_id")
+    ids = found.join(rows.select(row, "doc_id"), row)
+    kept = ids.groupBy("class_id").agg(F.min(F.struct("doc_id", row)).alias("best")).select(F.col(f"best.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*quoted(docs))
