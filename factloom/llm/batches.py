@@ -40,8 +40,8 @@ def saved_by(df: DataFrame, name: str, key: str, paths: list[str] | None = None)
     return spark.table(table)
 
 
-def word_batches(docs: DataFrame, mark: str | None = None, paths: list[str] | None = None) -> DataFrame:
-    """Batches of ``docs`` (doc_id, text, and the boolean column ``mark``), A-Z lower-cased.
+def word_batches(docs: DataFrame, mark: str | None = None, paths: list[str] | None = None, size: int = BATCH_BYTES) -> DataFrame:
+    """Batches of ``docs`` (doc_id, text, and the boolean column ``mark``), A-Z lower-cased, of about ``size`` bytes of text.
 
     Columns: batch, uid (number of its first document; the others follow), n_words, doc_ids,
     counts (int32 words of each document), marks (a byte each), words (sorted 64-bit hashes), codes
@@ -53,7 +53,7 @@ def word_batches(docs: DataFrame, mark: str | None = None, paths: list[str] | No
         uid = TaskContext.get().partitionId() << 40
         number = TaskContext.get().partitionId() << 24
         for whole in rows:
-            for part in runs(whole, "text", BATCH_BYTES):
+            for part in runs(whole, "text", size):
                 body, offsets = text_bytes(part.column("text"))
                 low = LOWER[body]
                 starts, ends, text = word_spans(low, offsets)

@@ -22,7 +22,8 @@ LEAST, PRIOR, GAIN, HOT = 4, 2.0, 2.0, 1 << 18
 MOST_HOT = 1 << 22
 #: Bytes of a word's hash in questions about words and about followers.
 WIDE, NARROW = 8, 6
-DEPTH = 3
+#: Tokens of the longest contexts; bytes of text that a task walks at once.
+DEPTH, BATCH = 3, 8_000_000
 ALPHA = 0.1
 
 
@@ -241,7 +242,7 @@ def suffix_tree_scores(docs: DataFrame, held_out: str | None = None, depth: int
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     learn = docs.select("doc_id", "text", ((~F.col(held_out)) if held_out else F.lit(True)).alias("_learn"))
-    batches = word_batches(learn, "_learn")
+    batches = word_batches(learn, "_learn", size=BATCH)
     buckets = count_buckets(batches)
 
     def ask_words(rows: pd.DataFrame) -> pd.DataFrame:
