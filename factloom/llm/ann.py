@@ -6,6 +6,7 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from factloom.llm.common import removed, running_start, saved
 BLOCK, CHUNK = 512, 256
 #: The graph is grown until a smaller share of its edges is new; queries that measure the search, and
 #: the share of their true neighbours that it must find; nodes that every search starts from.
-SETTLED, SAMPLE, RECALL, ENTRIES = 0.01, 64, 0.93, 32
+SETTLED, SAMPLE, RECALL, ENTRIES = 0.05, 64, 0.93, 32
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -99,7 +100,7 @@ def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int | None = None, ta
     neighbours, forward and reverse, with their vectors, compares them with one another where one of
     the two is new, and offers each the nearer ones; the k nearest stay. A node meets ``k`` of its
     reverse neighbours, chosen by hash anew each round, so a hub's group stays small. Rounds end when
-    under 1 % of the edges are new, or after ``rounds`` where that is given.
+    under 5 % of the edges are new, or after ``rounds`` where that is given.
     """
     first = nodes.first()
     dims, n = (len(first["v"]), nodes.count()) if first else (1, 0)
@@ -168,11 +169,11 @@ def _state(rows: pd.DataFrame, ef: int, width: int) -> pd.DataFrame:
     return rows.assign(next=open_ & (seen - before <= width))[["query", "other", "d", "visited", "next"]]
 
 
-def neighbours(nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """Links (node, others, vs) of the graph in both directions with the vectors at their ends."""
-    pair = nodes.select(F.col("node").alias("other"), "v")
-    near = graph.select("node", "other").unionByName(graph.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("other")))).where("_r <= 40").drop("_r")).distinct()
-    return saved(near.join(pair, "other").groupBy("node").agg(F.collect_list("other").alias("others"), F.collect_list("v").alias("vs")), "links")
+def neighbours(graph: DataFrame, most: int = 40) -> DataFrame:
+    """Links (node, others) of the graph, forward and up to ``most`` of the reverse ones by hash."""
+    chosen = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("other")))
+    back = graph.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("_r", chosen).where(F.col("_r") <= most).drop("_r")
+    return saved(graph.select("node", "other").unionByName(back).groupBy("node").agg(F.collect_set("other").alias("others")), "links")
 
 
 def true_nearest(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -212,12 +213,12 @@ def wide_enough(nodes: DataFrame, links: DataFrame, queries: DataFrame, k: int,
 def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, ef: int) -> DataFrame:
     """Nodes (query, other, d) that a greedy search for ``queries`` (query, qv) meets, the ``ef`` nearest.
 
-    Every search starts from the same 32 nodes, those of least hash. Each step expands the nearest
-    nodes of every query that it has not visited among its ``ef`` nearest, 16 or an eighth of ``ef``,
-    by a join with the graph, until none is left.
+    Every search starts from the same 32 nodes, those of least hash, and from its own node (``own``) if it
+    has one. Each step expands the nearest nodes of every query that it has not visited among its
+    ``ef`` nearest, 32 or a quarter of ``ef``, by a join with the graph, until none is left.
     """
-    width = max(16, ef // 8)
-    queries = saved(queries.select("query", "qv"), "queries")
+    width = max(32, ef // 4)
+    queries = saved(queries.select("query", "qv", "own"), "queries")
     n = queries.count()
     chunk = F.pmod(F.xxhash64("query"), F.lit(max(1, n // 16)))
     gates = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
@@ -225,31 +226,33 @@ def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, ef: int) -> D
 
     def begin(parts):
         for rows in parts:
-            for query, qv in zip(rows["query"], rows["qv"], strict=True):
-                yield pd.DataFrame({"query": query, "other": gate, "d": ((at - np.asarray(qv, float)) ** 2).sum(1), "visited": False, "next": False})
-
-    def measure(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for query, qv, others, vs in zip(rows["query"], rows["qv"], rows["others"], rows["vs"], strict=True):
-            diff = np.array(vs.tolist(), float) - np.asarray(qv, float)
-            out.append((np.full(len(others), query), np.asarray(others), (diff * diff).sum(1)))
-        q, o, d = (np.concatenate(x) for x in zip(*out, strict=True))
-        best = _top(q, o, d, np.zeros(len(q), bool), ef)
-        return best.rename(columns={"node": "query"})[["query", "other", "d"]]
+            for query, qv, own in zip(rows["query"], rows["qv"], rows["own"], strict=True):
+                here = [] if pd.isna(own) else [int(own)]
+                others, d = np.append(gate, np.array(here, np.int64)), np.append(((at - np.asarray(qv, float)) ** 2).sum(1), np.zeros(len(here)))
+                yield pd.DataFrame({"query": query, "other": others, "d": d, "visited": False, "next": False})
+
+    def measure(batches):
+        for rows in batches:
+            qv, v = (rows.column(c).flatten().to_numpy().reshape(rows.num_rows, -1).astype(float) for c in ("qv", "v"))
+            yield pa.RecordBatch.from_arrays([rows.column("query"), rows.column("other"), pa.array(((v - qv) ** 2).sum(1))], ["query", "other", "d"])
 
     def update(rows: pd.DataFrame) -> pd.DataFrame:
         return _state(rows, ef, width)
 
     schema = "query long, other long, d double, visited boolean, next boolean"
     paths: list[str] = []
+    vectors = nodes.select(F.col("node").alias("other"), "v")
     started = queries.mapInPandas(begin, schema)
     state = saved(started.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(update, schema), "state", paths)
     while True:
         front = state.where("next").select("query", F.col("other").alias("node"))
         if front.isEmpty():
             break
-        found = front.join(links, "node").join(F.broadcast(queries) if n * max(1, at.shape[-1]) <= 1_000_000 else queries, "query").withColumn("chunk", chunk)
-        found = found.groupBy("chunk").applyInPandas(measure, "query long, other long, d double")
+        # nodes that are new to the query travel as ids, and only then meet their vectors
+        met = front.join(links, "node").select("query", F.explode("others").alias("other")).distinct().join(state.select("query", "other"), ["query", "other"], "left_anti")
+        asking = queries.drop("own")
+        met = met.join(vectors, "other").join(F.broadcast(asking) if n * max(1, at.shape[-1]) <= 1_000_000 else asking, "query")
+        found = met.mapInArrow(measure, "query long, other long, d double")
         old = state.select("query", "other", "d", (F.col("visited") | F.col("next")).alias("visited"))
         both = old.unionByName(found.withColumn("visited", F.lit(False))).withColumn("chunk", chunk)
         written: list[str] = []
@@ -273,7 +276,7 @@ def _ranked(rows: DataFrame, queries: DataFrame, k: int, ef: int, degree: int, r
     queries = saved(both.where("asks").select(F.col("vec_id").alias("query_id"), "v", "own").join(groups.withColumnRenamed("node", "here"), "v", "left"), "asked")
     asked = saved(queries.groupBy("v").agg(F.min("query_id").alias("query"), F.min("here").alias("own")).select("query", F.col("v").alias("qv"), "own"), "starts")
     graph = neighbour_graph(nodes, degree, rounds)
-    links = neighbours(nodes, graph)
+    links = neighbours(graph)
     found = search(nodes, links, asked, wide_enough(nodes, links, asked, k, ef))
     close = found.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("d", "other"))).where(F.col("_r") <= 4 * k + 1)
     apart = F.zip_with("qv", "cv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
@@ -292,12 +295,12 @@ def _ranked(rows: DataFrame, queries: DataFrame, k: int, ef: int, degree: int, r
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 64, degree: int = 20, rounds: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 256, degree: int = 20, rounds: int | None = None) -> DataFrame:
     """The ``k`` nearest found of each query row: query_id, rank, vec_id, score (Euclidean distance).
 
     Every usable row is indexed; equal vectors are one node of the graph, and of a node the ``k + 1``
-    smallest ids can be results. The graph search starts from the same 32 nodes for all queries; its
-    width starts at ``ef`` and grows until it finds 93 % of the true neighbours of 64 of the queries,
+    smallest ids can be results. The graph search starts from 32 nodes that all queries share and from
+    the query's own; its width starts at ``ef`` and grows until it finds 93 % of the true neighbours of 64 of the queries,
     which are held against all nodes. Distances are computed in double precision on the vectors, of any
     scale; nearest first, equal ones by smaller id. The query itself is no candidate.
 
@@ -311,7 +314,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 64, degree: int
     return _by_length(vectors, rows, queries, k, ef, degree, rounds)
 
 
-def nearest_to(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64, degree: int = 20, rounds: int | None = None) -> DataFrame:
+def nearest_to(vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = 256, degree: int = 20, rounds: int | None = None) -> DataFrame:
     """As :func:`nearest`, for ``queries`` (query_id, embedding) that need not be rows of the table; none is excluded."""
     rows = saved(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     asked = usable(queries, "query_id").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
