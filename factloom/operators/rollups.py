@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +53,25 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
         part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def by_severity(parts: list[tuple[DataFrame, str, dict[str, str]]]) -> DataFrame:
+    """(severity, kind, detail) of unlike rows, the first part being the most severe, in the order of the three.
+
+    A part is a DataFrame, its kind, and the columns behind the fields of ``detail``, a JSON text.
+    """
+    one = lambda i, df, kind, fields: df.select(F.lit(i).alias("severity"), F.lit(kind).alias("kind"), F.to_json(F.struct(*[F.col(c).alias(n) for n, c in fields.items()])).alias("detail"))
+    return reduce(DataFrame.unionByName, [one(i, *part) for i, part in enumerate(parts)]).orderBy("severity", "kind", "detail")
+
+
+def name_recall(wanted: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """(n_wanted, n_found, recall) over names that agree in their lower-case letters and digits."""
+    bare = lambda df: df.select(F.regexp_replace(F.lower(name), "[^a-z0-9]", "").alias("bare")).distinct()
+    met = bare(wanted).join(bare(found).withColumn("hit", F.lit(1)), "bare", "left")
+    return met.agg(F.count(F.lit(1)).alias("n_wanted"), F.count("hit").alias("n_found")).withColumn("recall", F.round(F.col("n_found") / F.col("n_wanted"), 6))
+
+
+def macro_micro(scores: DataFrame) -> DataFrame:
+    """(macro_f1, micro_f1) of scores by facet: the facets' mean, and the score of all cases together."""
+    tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
+    return scores.agg(F.round(F.avg("f1"), 5).alias("macro_f1"), F.round(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("micro_f1"))

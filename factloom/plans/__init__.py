@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from factloom.plans import catalog, evidence, graphs, links
+from factloom.plans import catalog, evidence, graphs, links, requests
 from factloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalog", "evidence", "graphs", "links"]
+__all__ = ["QUERIES", "SQL", "catalog", "evidence", "graphs", "links", "requests"]

@@ -45,8 +45,8 @@ def prefix_either(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 26 OFFSET 50")
 def page_cursor(t: Tables) -> DataFrame:
-    cursor = paging.encode_cursor(50)
-    return paging.page_plan(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 25, paging.decode_cursor(cursor))
+    orders, order = t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["-o_totalprice", "o_orderkey"]
+    return paging.page_plan(orders, order, 25, paging.page(orders, order, 50)["next_cursor"])
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal >= 1000 AND s_acctbal <= 5000")

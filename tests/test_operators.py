@@ -36,7 +36,18 @@ def test_pages_follow_one_another(spark):
     with pytest.raises(ValueError):
         paging.page(df, ["id"], 101)
     with pytest.raises(ValueError):
-        paging.decode_cursor("%%%")
+        paging.page(df, ["id"], 25, "%%%")
+    mixed = spark.createDataFrame([(i, None if i % 5 == 0 else i % 7) for i in range(40)], "id int, rank int")
+    for order in (["rank", "-id"], ["-rank", "id"]):
+        seen, cursor = [], None
+        while True:
+            got = paging.page(mixed, order, 7, cursor)
+            seen += [r["id"] for r in got["rows"]]
+            cursor = got["next_cursor"]
+            if cursor is None:
+                break
+        whole = mixed.orderBy(*[F.desc(k[1:]) if k[0] == "-" else F.asc(k) for k in order])
+        assert seen == [r.id for r in whole.collect()]
     assert paging.search_all({"a": df.where("id < 2"), "b": df.where("id < 1")}, ["surface", "id"])["status"] == "ok"
     assert paging.search_all({"a": df}, ["id"])["status"] == "error"
 
