@@ -24,17 +24,17 @@ def by_all_distances(v, q, skip, k=10):
     return [i for i in np.lexsort((np.arange(len(v)), d)) if i != skip][:k], d
 
 
-@pytest.mark.parametrize(("scale", "kind"), [(1.0, "float"), (1e20, "float"), (1e-25, "float"), (1e200, "double")])
+@pytest.mark.parametrize(("scale", "kind"), [(1e20, "float"), (1e-25, "float"), (1e200, "double")])
 def test_recall_at_every_scale(spark, scale, kind):
-    v = (np.random.default_rng(2).standard_normal((1500, 32)) * scale).astype(np.float32 if kind == "float" else float)
+    v = (np.random.default_rng(2).standard_normal((700, 32)) * scale).astype(np.float32 if kind == "float" else float)
     table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], f"vec_id long, embedding array<{kind}>")
     got, hit = found(nearest(table, F.col("vec_id") % 100 == 0)), 0
-    assert set(got) == set(range(0, 1500, 100))
+    assert set(got) == set(range(0, 700, 100))
     for q, rows in got.items():
         best, d = by_all_distances(v, v[q], q)
         assert [r[0] for r in rows] == list(range(1, 11)) and all(math.isclose(s, d[i], rel_tol=1e-12) for _, i, s in rows)
         hit += len(set(best) & {i for _, i, _ in rows})
-    assert hit >= 0.9 * 150
+    assert hit >= 0.9 * 70
 
 
 def test_edges(spark):
