@@ -15,7 +15,7 @@ def endpoint_matches(requests: DataFrame, endpoints: DataFrame, compatible: Data
     (version, other) (``compatible``); an exact match hides the others of its request. Two equi-joins.
     """
     e = endpoints.select("endpoint_id", "method", "path", F.col("version").alias("other"))
-    exact = requests.join(e.withColumnRenamed("other", "version"), ["method", "path", "version"]).select("request_id", "endpoint_id", F.lit("exact").alias("match"))
+    exact = requests.join(e.withColumnRenamed("other", "version"), ["method", "path", "version"]).select("request_id", "endpoint_id", F.lit("exact").alias("match")).distinct()
     near = requests.join(compatible, "version").join(e, ["method", "path", "other"]).select("request_id", "endpoint_id", F.lit("compatible").alias("match"))
     near = near.join(exact.select("request_id"), "request_id", "left_anti").distinct()
     return exact.unionByName(near)

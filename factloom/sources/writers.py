@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,22 +50,30 @@ def write_generation(tables: dict[str, DataFrame], root: str) -> str:
 def promote(spark: SparkSession, root: str, generation: str, parent: str | None, checks: DataFrame | None = None) -> None:
     """Makes a generation the active one if ``checks`` (n_bad) are all zero and ``parent`` is still active.
 
-    The pointer is a table of promotions in order: appending a row is the switch, and all before stay.
+    Promotions are numbered files, and a number is claimed by creating its file where there is none: of
+    two promotions at once one fails. All files before stay.
     """
     if checks is not None and (bad := checks.where("n_bad > 0").collect()):
         raise ValueError("checks failed: " + ", ".join(f"{r['check_name']} {r['n_bad']}" for r in bad))
     now, number = _latest(spark, root)
     if now != parent:
         raise ValueError(f"the active generation is {now}, not {parent}")
-    spark.createDataFrame([(number + 1, generation)], "number long, generation string").coalesce(1).write.mode("append").parquet(f"{root}/promotions")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/promotions/{number + 1:012d}-{generation}")
+    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/claims/{number + 1:012d}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        files.create(claim, False).close()
+    except Py4JJavaError as error:
+        raise ValueError(f"promotion {number + 1} is another's") from error
+    files.create(path, False).close()
 
 
 def _latest(spark: SparkSession, root: str) -> tuple[str | None, int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/promotions")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None, 0
-    row = spark.read.parquet(f"{root}/promotions").orderBy(F.desc("number")).first()
-    return row["generation"], row["number"]
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else []
+    number, _, generation = names[-1].partition("-") if names else ("0", "", None)
+    return generation, int(number)
 
 
 def active(spark: SparkSession, root: str, table: str) -> DataFrame:

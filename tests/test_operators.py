@@ -99,6 +99,9 @@ def test_generations_switch_only_when_valid(spark, tmp_path):
     assert writers.active(spark, root, "t").count() == 3
     writers.promote(spark, root, second, first, bad.where("n_bad = 0"))
     assert writers.active(spark, root, "t").count() == 5
+    (tmp_path / "claims" / f"{3:012d}").touch()  # another promotion that has read the same parent is ahead
+    with pytest.raises(ValueError, match="another"):
+        writers.promote(spark, root, first, second)
 
 
 def test_names(spark):
