@@ -54,3 +54,11 @@ def test_edges(spark):
     outside = spark.createDataFrame([(1, v[17].tolist()), (2, (v[20] * 1.01).tolist())], "query_id long, embedding array<float>")
     near = found(nearest_to(table, outside))
     assert near[1][0][1:] == (17, 0.0) and near[2][0][1] == 20
+
+
+def test_a_narrow_search_is_widened(spark):
+    v = np.random.default_rng(4).standard_normal((800, 48)).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = found(nearest(table, F.col("vec_id") % 50 == 0, ef=64, degree=5, rounds=1))
+    hits = sum(len(set(by_all_distances(v, v[q], q)[0]) & {x[1] for x in rows}) for q, rows in got.items())
+    assert hits >= 0.9 * 160
