@@ -41,12 +41,15 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def fingerprint(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """(table_name, n_rows, digest) that depend on the rows' content only, not on order or surrogate ids.
 
-    The digest adds up the row hashes' first 60 bits as decimals: no sort, no single task.
+    The digest adds up the row hashes, all 256 bits of them in five numbers: no sort, no single task.
+    An empty table has five zeros.
     """
     parts = []
     for name, (df, cols) in tables.items():
-        h = F.conv(F.substring(row_hash(cols), 1, 15), 16, 10).cast("decimal(38,0)")
-        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("digest")).select(F.lit(name).alias("table_name"), "n_rows", "digest"))
+        hashed = df.select(row_hash(cols).alias("h"))
+        limbs = [F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)") for at in range(1, 65, 15)]
+        digest = F.concat_ws("-", *[F.coalesce(F.sum(x), F.lit(0)).cast("string") for x in limbs])
+        parts.append(hashed.agg(F.count(F.lit(1)).alias("n_rows"), digest.alias("digest")).select(F.lit(name).alias("table_name"), "n_rows", "digest"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -380,7 +380,12 @@ def multiset_parity(t: Tables) -> DataFrame:
     return diff.multiset_diff(a, b)
 
 
-@query()
+@query("""WITH h AS (
+  SELECT 'customer' AS table_name, sha256(to_json({'c_mktsegment': c_mktsegment, 'c_name': c_name, 'c_nationkey': c_nationkey})::VARCHAR) AS h FROM customer
+  UNION ALL SELECT 'part', sha256(to_json({'p_brand': p_brand, 'p_name': p_name, 'p_size': p_size})::VARCHAR) FROM part)
+SELECT table_name, count(*) AS n_rows, concat_ws('-', sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 16, 15))::BIGINT)::VARCHAR,
+  sum(('0x' || substr(h, 31, 15))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 46, 15))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 61, 4))::BIGINT)::VARCHAR) AS digest
+FROM h GROUP BY ALL""")
 def table_fingerprint(t: Tables) -> DataFrame:
     return diff.fingerprint({"customer": (t.customer, ["c_name", "c_mktsegment", "c_nationkey"]), "part": (t.part, ["p_name", "p_brand", "p_size"])})
 
