@@ -206,11 +206,17 @@ def test_agreeing_and_archive(spark):
     assert linking.without_repository({"f": facts}, links, "s")["f"].count() == 2
 
 
-def test_structural_labels_go_on_until_no_class_splits(spark):
-    from factloom.llm.common import shared_dir
+def test_structural_labels_go_on_until_no_class_splits(spark, tmp_path):
     from factloom.operators.graph import structural_labels
 
-    shared_dir(spark)
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tmp_path.as_uri())
     nodes = spark.createDataFrame([(f"n{i}", "x") for i in range(26)], "node string, label string")
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "NEXT") for i in range(25)], "src string, dst string, relation string")
     assert structural_labels(nodes, edges).select("label").distinct().count() == 26
+
+
+def test_relation_classes(spark):
+    rows = [("java.util.List", "IMPORTS", "builtin"), ("Math", "CALLS", "builtin"), ("react", "IMPORTS", "external"), ("./a", "IMPORTS", "local"), ("react", "CALLS", "local"), ("  ", "CALLS", "empty"), (None, "CALLS", "empty")]
+    df = spark.createDataFrame(rows, "target_name string, relation string, want string")
+    assert df.where(extract.relation_class() != F.col("want")).count() == 0
