@@ -36,3 +36,9 @@ def agreeing_facts(t: Tables) -> DataFrame:
     """Brand and type of each ordered part; facts that differ for one part would be an error."""
     ordered = t.lineitem.select("l_partkey").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return linking.agreeing(ordered.select("l_partkey", "p_brand", "p_type"), ["l_partkey"])
+
+
+@query("SELECT doc_id, substr(text, 1, 500) AS evidence FROM documents")
+def evidence_text(t: Tables) -> DataFrame:
+    """What a report shows of each document's text."""
+    return t.documents.select("doc_id", names.evidence(F.col("text")).alias("evidence"))
