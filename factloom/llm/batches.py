@@ -101,8 +101,10 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def bucket_runs(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, start, end) of the buckets that sorted ``hashes`` are in."""
+    if not len(hashes):
+        return []
     bucket = bucket_of(hashes, buckets)
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     return list(zip(bucket[first].tolist(), first.tolist(), np.append(first[1:], len(bucket)).tolist(), strict=True))
 
 
