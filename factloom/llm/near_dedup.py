@@ -19,6 +19,8 @@ BANDS, ROWS = 8, 3
 GROUP = 64
 #: Centres of a bucket in a round are so many times those of the round before; shingles of a group held as one table.
 WIDER, TABLE = 16, 1 << 15
+#: Bytes of text in a batch and words that a bucket gets about; the arrays of either are what a task holds.
+BATCH, BUCKET = 6_000_000, 1_000_000
 #: Bytes of a text's sketch; parts, at most, that the texts of a shingle are counted in.
 SKETCH, PARTS = 6, 64
 #: Tasks that the members of one band are dealt to where they are joined with what is known of the band.
@@ -83,8 +85,8 @@ def count_kinds(pairs: DataFrame, buckets: int) -> DataFrame:
     """With how many sketches each shingle occurs, part by part of the sketches: rows as :func:`ask_counts` makes them, batch -1."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([unpack(x, 8) for x in rows["keys"]])
-        mark = np.concatenate([unpack(x, SKETCH) for x in rows["counts"]])
+        key = np.concatenate([unpack(x, 8) for x in rows.pop("keys")])
+        mark = np.concatenate([unpack(x, SKETCH) for x in rows.pop("counts")])
         order = np.lexsort((mark, key))
         key, mark = key[order], mark[order]
         one = np.append(True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))
@@ -197,8 +199,8 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     centre is copied for every 64 members, so no task gets a whole large bucket.
     """
     spark, paths = docs.sparkSession, []
-    batches = word_batches(docs, paths=paths)
-    buckets = count_buckets(batches)
+    batches = word_batches(docs, paths=paths, size=BATCH)
+    buckets = count_buckets(batches, BUCKET)
     places = F.posexplode("doc_ids").alias("place", "doc_id")
     named = batches.select("batch", F.col("uid").alias("first"), "same", places).select(
         "batch", (F.col("first") + F.col("place")).alias("uid"), "doc_id", F.element_at("same", 2 * F.col("place") + 1).alias("same1"), F.element_at("same", 2 * F.col("place") + 2).alias("same2"))
