@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import ASK, COUNT, answer_counts, ask_counts, bucket_of, count_buckets, pack, read, unpack, word_batches
+from factloom.llm.batches import ASK, COUNT, ask_counts, count_buckets, pack, read, unpack, word_batches
 from factloom.llm.common import fresh_names, quoted, removed, saved
 from factloom.llm.components import components
 from factloom.llm.spans import mixed64
@@ -21,8 +21,8 @@ GROUP = 64
 WIDER, TABLE = 16, 1 << 15
 #: Bytes of text in a batch and words that a bucket gets about; the arrays of either are what a task holds.
 BATCH, BUCKET = 6_000_000, 1_000_000
-#: Bytes of a text's sketch; parts, at most, that the texts of a shingle are counted in.
-SKETCH, PARTS = 6, 64
+#: Bits of a text's sketch.
+SKETCH = 32
 #: Tasks that the members of one band are dealt to where they are joined with what is known of the band.
 SALTS = 16
 #: Weights are whole powers of this, kept in two bytes.
@@ -54,52 +54,33 @@ def shingles(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def sketches(keys: np.ndarray, code: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of the text of each shingle, 48 bits of its least shingle hash (one min-hash)."""
+    """Of the text of each shingle, 32 bits of its least shingle hash (one min-hash)."""
     first = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
-    least = mixed64(keys[code[first]]) & U((1 << 8 * SKETCH) - 1)
-    return least[np.cumsum(first) - 1]
+    least = mixed64(keys[code[first]]) >> U(64 - SKETCH)
+    return least.astype(np.int64)[np.cumsum(first) - 1]
 
 
-def sketch_pairs(batch: int, keys: np.ndarray, code: np.ndarray, sketch: np.ndarray, buckets: int, parts: int) -> pd.DataFrame:
-    """The distinct pairs of shingle and sketch of one batch, dealt by key and by part of the sketch.
-
-    ``parts`` neighbouring buckets of keys are dealt anew by the sketch, so there are as many groups as
-    buckets, and the texts of one shingle, however many, are in ``parts`` of them.
-    """
-    names, rank = np.unique(sketch, return_inverse=True)
-    pair = np.unique(code << 32 | rank.reshape(-1))
-    key, mark = keys[pair >> 32], names[pair & 0xFFFFFFFF]
-    group = bucket_of(key, buckets) // parts * parts + (mark % U(parts)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else order
-    rows = [(int(group[order[i]]), batch, keyed(key[order[i:j]]), pack(mark[order[i:j]], SKETCH)) for i, j in zip(first, np.append(first[1:], len(order)), strict=False)]
-    return pd.DataFrame(rows, columns=["bucket", "batch", "keys", "counts"])
-
-
-def keyed(keys: np.ndarray) -> bytes:
-    """Whole hashes, as their buckets are needed again."""
-    return pack(keys, 8)
+def kinds_of(distinct: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """How many kinds of texts left so many ``distinct`` sketches (linear counting), so none is lost to equal sketches."""
+    cells = 2.0**bits
+    return np.round(-cells * np.log1p(-np.minimum(distinct, cells - 1) / cells)).astype(np.int64)
 
 
-def count_kinds(pairs: DataFrame, buckets: int) -> DataFrame:
-    """With how many sketches each shingle occurs, part by part of the sketches: rows as :func:`ask_counts` makes them, batch -1."""
+def answer_kinds(asked: DataFrame) -> DataFrame:
+    """Answers (batch, bucket, counts): of how many kinds of texts, over all batches, each shingle asked for is."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([unpack(x, 8) for x in rows.pop("keys")])
-        mark = np.concatenate([unpack(x, SKETCH) for x in rows.pop("counts")])
-        order = np.lexsort((mark, key))
-        key, mark = key[order], mark[order]
-        one = np.append(True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]))
-        names, kinds = np.unique(key[one], return_counts=True)
-        return ask_counts(-1, names, kinds.astype(U), buckets)
+        keys = [unpack(x, 6) for x in rows["keys"]]
+        edges = np.cumsum([0, *map(len, keys)])
+        flat, mark = np.concatenate(keys), np.concatenate([unpack(x, COUNT) for x in rows["counts"]])
+        del keys
+        names, back = np.unique(flat, return_inverse=True)
+        back = back.reshape(-1)
+        one = np.unique(mixed64(flat ^ mixed64(mark + U(1))), return_index=True)[1]
+        kinds = kinds_of(np.bincount(back[one], minlength=len(names))).astype(U)
+        return pd.DataFrame({"batch": rows["batch"], "bucket": rows["bucket"], "counts": [pack(kinds[back[i:j]], COUNT) for i, j in zip(edges, edges[1:], strict=False)]})
 
-    return pairs.groupBy("bucket").applyInPandas(add, ASK)
-
-
-def answer_kinds(asked: DataFrame, counted: DataFrame) -> DataFrame:
-    """Answers (batch, bucket, counts): the kinds of texts of each shingle that ``asked`` names, added over the parts."""
-    answers = answer_counts(asked.unionByName(counted))
-    return answers.where("batch >= 0").select("batch", "bucket", "counts")
+    return asked.groupBy("bucket").applyInPandas(add, "batch long, bucket int, counts binary")
 
 
 def weigh(times: np.ndarray, df: np.ndarray, n_texts: int) -> np.ndarray:
@@ -161,6 +142,8 @@ def _weighed(row: pd.Series, got: pd.DataFrame, n_texts: int) -> tuple[np.ndarra
     keys, code, doc, times = shingles(_only(row, got["uid"].dropna()))
     answers = got[got["uid"].isna()].sort_values("bucket")["counts"]
     df = np.concatenate([unpack(x, COUNT) for x in answers]).astype(np.int64) if len(answers) else np.zeros(0, np.int64)
+    # a shingle was asked about once for each of its sketches
+    df = df[np.unique(np.unique(code << SKETCH | sketches(keys, code, doc)) >> SKETCH, return_index=True)[1]]
     return keys[code], doc, weigh(times, df[code], n_texts)
 
 
@@ -210,20 +193,16 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     n_texts = texts.count()
     asked = texts.select("batch", F.col("text").alias("uid"))
 
-    parts = max(1, min(PARTS, buckets // 8))
-
     def ask(rows: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
-        """The pairs of shingle and sketch of a batch, and, marked by no count, its shingles."""
-        out = [pd.DataFrame(columns=["bucket", "batch", "keys", "counts", "pairs"])]
+        out = [pd.DataFrame(columns=["bucket", "batch", "keys", "counts"])]
         for _, row in rows.iterrows():
             keys, code, doc, _ = shingles(_only(row, mine["uid"]))
-            out.append(sketch_pairs(row["batch"], keys, code, sketches(keys, code, doc), buckets, parts).assign(pairs=True))
-            out.append(ask_counts(row["batch"], keys, np.zeros(len(keys), U), buckets).assign(pairs=False))
+            pair = np.unique(code << SKETCH | sketches(keys, code, doc))
+            out.append(ask_counts(row["batch"], keys[pair >> SKETCH], pair & (1 << SKETCH) - 1, buckets))
         return pd.concat(out)
 
-    questions = saved(batches.groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(ask, f"{ASK}, pairs boolean"), "shingles", paths)
-    counted = count_kinds(questions.where("pairs").drop("pairs"), buckets)
-    df = saved(answer_kinds(questions.where("not pairs").drop("pairs"), counted), "shingle_counts", paths)
+    questions = batches.groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(ask, ASK)
+    df = saved(answer_kinds(questions), "shingle_counts", paths)
 
     def with_texts(wanted: DataFrame) -> DataFrame:
         """Answers and, in rows of their own, the texts that are wanted."""
