@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import quoted
 from factloom.llm.encoding import runs
 from factloom.llm.spans import Known, sums_by_text, text_bytes
 
@@ -128,13 +129,16 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     Whole texts are searched. Null and empty texts have 0 tokens and the score 0; repeated rows are
     counted each; an empty table gives no rows. Columns of ``docs`` stay, but for those two names.
     """
-    keep = [c for c in docs.columns if c not in ("n_tokens", "token_score")]
+    keep = [c for c in docs.columns if c.lower() not in ("n_tokens", "token_score")]
+    at = keep.index("text")
+    # by position, as names may hold dots
+    rows = docs.select(*[q for q, c in zip(quoted(docs), docs.columns, strict=True) if c in keep]).toDF(*[f"c{i}" for i in range(len(keep))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in runs(whole, "text"):
-                n, score = counter(vocabulary_path)(batch.column("text"))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n), pa.array(score)], [*keep, "n_tokens", "token_score"])
+            for batch in runs(whole, f"c{at}"):
+                n, score = counter(vocabulary_path)(batch.column(at))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(score)], names)
 
-    rows = docs.select(*keep)
-    return rows.mapInArrow(count, rows.limit(0).withColumns({"n_tokens": F.lit(0).cast("long"), "token_score": F.lit(0.0)}).schema)
+    names = [*rows.columns, "n", "score"]
+    return rows.mapInArrow(count, rows.limit(0).withColumns({"n": F.lit(0).cast("long"), "score": F.lit(0.0)}).schema).toDF(*keep, "n_tokens", "token_score")

@@ -234,6 +234,9 @@ def test_token_counts_equal_the_library(spark, docs, empty):
     out = token_counts(docs, queries.piece_vocabulary())
     assert out.count() == docs.count() and out.columns == [*docs.columns, "n_tokens", "token_score"]
     assert token_counts(empty, queries.piece_vocabulary()).count() == 0
+    clash = docs.withColumns({c: F.lit("own") for c in ("a.b", "N_tokens", "n", "c0")})
+    out = token_counts(clash, queries.piece_vocabulary())
+    assert out.columns == [*[c for c in clash.columns if c != "N_tokens"], "n_tokens", "token_score"] and out.where("`a.b` = 'own' and n = 'own' and c0 = 'own'").count() == docs.count()
 
 
 # ---- learnt scores
