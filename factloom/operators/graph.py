@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.scratch import written
 from factloom.operators.windows import top_n
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again; in memory order where there is none."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def steps(edges: DataFrame, cap: int, order: list[Column], incoming: bool = True, outgoing: bool = True) -> DataFrame:
     """(node, other, relation, direction, ...) with at most ``cap`` edges of each node and direction."""
     parts = []

@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from factloom.plans import catalog, evidence, forms, graphs, links, requests
+from factloom.plans import catalog, evidence, forms, graphs, links, requests, semantics
 from factloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalog", "evidence", "forms", "graphs", "links", "requests"]
+__all__ = ["QUERIES", "SQL", "catalog", "evidence", "forms", "graphs", "links", "requests", "semantics"]
