@@ -18,6 +18,8 @@ from factloom.llm.spans import LOWER, gather, mixed64, span_hashes, text_bytes
 
 #: Bytes of text in a shard, about.
 SHARD = 6_000_000
+#: Bytes of a key on its way to its bucket; keys that agree in them only let an n-gram go on that need not.
+KEY = 3
 #: Pieces end at these bytes, words at these and at a space or tab.
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -94,13 +96,12 @@ def pair_keys(hashes: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     return mixed64(key + np.uint64(length))
 
 
-def shards(docs: DataFrame, buckets: int, size: int = SHARD) -> DataFrame:
-    """Shards of about ``size`` bytes of text, and what each asks of every bucket of keys.
+def shards(docs: DataFrame, size: int = SHARD) -> DataFrame:
+    """Texts as shards of about ``size`` bytes: ids of words, and the words.
 
-    Rows with ``bucket`` null hold a shard: its langs and their words, the words (each of one lang, with
-    its bytes and hash), and the text as places in them with the piece of each. The other rows hold
-    the low four bytes of the keys of a shard's distinct words and pairs that fall into the bucket, in
-    order of the keys, and how often each occurs there.
+    Columns: shard, langs and their words (totals), and as packed bytes: of each distinct word (of one
+    lang) its hash, lang, bytes and their number; of the text the place of each word among these, and a
+    bit for each word that begins a piece.
     """
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,31 +117,50 @@ def shards(docs: DataFrame, buckets: int, size: int = SHARD) -> DataFrame:
                 flat = np.concatenate([[0], np.cumsum(length)])
                 word = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(flat), pa.py_buffer(gather(body, start, length))]).dictionary_encode().indices.to_numpy()
                 _, first, code = np.unique(word.astype(np.int64) * len(langs.dictionary) + lang, return_index=True, return_inverse=True)
-                code = code.reshape(-1)
                 seed = mixed64(span_hashes(*_flat(langs.dictionary)))
                 hashes = mixed64(span_hashes(body, start[first], end[first]) ^ seed[lang[first]])
-                piece = np.cumsum(np.append(False, piece[1:] != piece[:-1])).astype(np.uint32)[: len(piece)]
-                length = length[first]
-                content = [
-                    langs.dictionary.to_pylist(), np.bincount(lang, minlength=len(langs.dictionary)).tolist(), hashes.tobytes(), lang[first].astype(np.int32).tobytes(),
-                    gather(body, start[first], length).tobytes(), length.astype(np.int32).tobytes(), code.astype(np.uint32).tobytes(), piece.tobytes()]
-                out = [(number, None, None, None, *content)]
-                order, shared, left = suffix_array(code, piece, 2)
-                keys, counts = zip(*[(pair_keys(hashes[code], place, k), n) for k, (place, n) in ((k, gram_counts(order, shared, left, k)) for k in (1, 2))], strict=True)
-                keys, counts = np.concatenate(keys), np.concatenate(counts)
-                at = np.argsort(keys)
-                keys, counts = keys[at], counts[at]
-                out += [(number, b, pack(keys[i:j], 4), pack(counts[i:j], 4), *[None] * 8) for b, i, j in bucket_runs(keys, buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SHARD_TYPES, strict=True)], _SHARD_NAMES)
+                opens = np.append(True, piece[1:] != piece[:-1])[: len(piece)]
+                out = (
+                    number, langs.dictionary.to_pylist(), np.bincount(lang, minlength=len(langs.dictionary)).tolist(), hashes.tobytes(), lang[first].astype(np.int32).tobytes(),
+                    gather(body, start[first], length[first]).tobytes(), length[first].astype(np.int32).tobytes(), pack(code.reshape(-1), 4), np.packbits(opens).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, _SHARD_TYPES, strict=True)], _SHARD_NAMES)
                 number += 1
 
     rows = docs.select(text_of().alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     return rows.mapInArrow(cut, _SHARD)
 
 
-_SHARD = "shard long, bucket int, keys binary, counts binary, langs array<string>, totals array<long>, hashes binary, word_lang binary, names binary, lengths binary, codes binary, pieces binary"
+_SHARD = "shard long, langs array<string>, totals array<long>, hashes binary, word_lang binary, names binary, lengths binary, codes binary, opens binary"
 _SHARD_NAMES = [x.split()[0] for x in _SHARD.split(", ")]
-_SHARD_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 6]
+_SHARD_TYPES = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 6]
+
+
+def _sequence(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of a shard, its text as places in them, and the piece of each word."""
+    code = unpack(row["codes"], 4).astype(np.int64)
+    return np.frombuffer(row["hashes"], np.uint64), code, np.cumsum(np.unpackbits(np.frombuffer(row["opens"], np.uint8))[: len(code)])
+
+
+def asked_counts(content: DataFrame, buckets: int, least: int) -> DataFrame:
+    """What each shard asks of every bucket of keys: shard, bucket, and packed the low three bytes of the keys
+    of its distinct words and pairs that fall into the bucket, in order of the keys, and their counts, ``least`` at most."""
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for row in batch.to_pylist():
+                hashes, code, piece = _sequence(row)
+                found = suffix_array(code, piece, 2)
+                grams = [gram_counts(*found, k) for k in (1, 2)]
+                keys = np.concatenate([pair_keys(hashes[code], place, k) for k, (place, _) in enumerate(grams, 1)])
+                counts = np.minimum(np.concatenate([n for _, n in grams]), least)
+                at = np.argsort(keys)
+                keys, counts = keys[at], counts[at]
+                cuts = bucket_runs(keys, buckets)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["shard"]] * len(cuts), pa.int64()), pa.array([b for b, _, _ in cuts], pa.int32()),
+                    pa.array([pack(keys[i:j], KEY) for _, i, j in cuts], pa.binary()), pa.array([pack(counts[i:j], 4) for _, i, j in cuts], pa.binary())], ["shard", "bucket", "keys", "counts"])
+
+    return content.select("shard", "hashes", "codes", "opens").mapInArrow(ask, "shard long, bucket int, keys binary, counts binary")
 
 
 def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,12 +171,12 @@ def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def frequent(asked: DataFrame, least: int) -> DataFrame:
     """For each shard and bucket, a bit for each key asked for: whether its count over all shards may reach ``least``.
 
-    Two keys of a bucket that agree in their low four bytes are counted together, so the answer is yes for
+    Two keys of a bucket that agree in their low three bytes are counted together, so the answer is yes for
     every key that reaches it; the strings decide later.
     """
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpack(x, 4) for x in rows["keys"]]
+        keys = [unpack(x, KEY) for x in rows["keys"]]
         edges = np.cumsum([0, *map(len, keys)])
         _, back = np.unique(np.concatenate(keys).astype(np.uint32), return_inverse=True)
         back = back.reshape(-1)
@@ -174,9 +194,9 @@ def gram_table(docs: DataFrame, most: int = 3, least: int = 10, size: int = SHAR
     an n-gram goes on only where all its words and pairs may reach ``least`` over the corpus, which
     every n-gram with that count does. What goes on is counted by its lang and words.
     """
-    written = saved(shards(docs, buckets := bucket_count(docs, size), size), "shards")
-    answers = frequent(written.where("bucket is not null").select("shard", "bucket", "keys", "counts"), least)
-    content = written.where("bucket is null").drop("bucket", "keys", "counts")
+    buckets = bucket_count(docs, size)
+    content = saved(shards(docs, size), "shards")
+    answers = frequent(asked_counts(content, buckets, least), least)
     totals = content.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
 
     def send(texts: pa.Table, kept: pa.Table) -> pa.Table:
@@ -184,7 +204,7 @@ def gram_table(docs: DataFrame, most: int = 3, least: int = 10, size: int = SHAR
         bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for _, x in sorted(zip(kept.column("bucket").to_pylist(), kept.column("kept").to_pylist(), strict=True))]
         for row in texts.to_pylist():
             read = lambda c, t: np.frombuffer(row[c], t)  # noqa: B023, E731
-            hashes, code, piece = read("hashes", np.uint64), read("codes", np.uint32).astype(np.int64), read("pieces", np.uint32)
+            hashes, code, piece = _sequence(row)
             ends = np.cumsum(read("lengths", np.int32).astype(np.int64))
             names, begins = read("names", np.uint8), ends - read("lengths", np.int32)
             order, shared, left = suffix_array(code, piece, max(2, most))
