@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.batches import bucket_runs, pack, unpack
+from factloom.llm.batches import bucket_of, bucket_runs, pack, saved_by, unpack
 from factloom.llm.common import saved, text_of
 from factloom.llm.encoding import runs
 from factloom.llm.spans import LOWER, gather, mixed64, span_hashes, text_bytes
@@ -88,6 +89,14 @@ def _mixed(h: np.ndarray, other: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """As ``gather``, about ``block`` bytes at a time, so that the places of all bytes are never held at once."""
+    ends = np.cumsum(lengths)
+    cuts = np.unique(np.searchsorted(ends, np.arange(block, int(ends[-1]) + 1, block))) if len(ends) else []
+    edges = [0, *[int(c) for c in cuts if 0 < c < len(ends)], len(ends)]
+    return np.concatenate([gather(flat, starts[i:j], lengths[i:j]) for i, j in zip(edges, edges[1:], strict=False)])
+
+
 def pair_keys(hashes: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     """64-bit keys of the n-grams of ``length`` words that start at ``place``."""
     key = hashes[place]
@@ -192,10 +201,11 @@ def gram_table(docs: DataFrame, most: int = 3, least: int = 10, size: int = SHAR
 
     Each shard sorts its suffixes once for what it asks, words and pairs, and once for what it sends:
     an n-gram goes on only where all its words and pairs may reach ``least`` over the corpus, which
-    every n-gram with that count does. What goes on is counted by its lang and words.
+    every n-gram with that count does. What goes on travels packed, a row for each shard and bucket of
+    keys, and is counted by its lang and words, whatever their hashes.
     """
     buckets = bucket_count(docs, size)
-    content = saved(shards(docs, size), "shards")
+    content = saved_by(shards(docs, size), "shards", "shard")
     answers = frequent(asked_counts(content, buckets, least), least)
     totals = content.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
 
@@ -221,29 +231,56 @@ def gram_table(docs: DataFrame, most: int = 3, least: int = 10, size: int = SHAR
             pair_ok = np.zeros(len(code), bool)
             members = order[left >= 2]
             pair_ok[members] = np.repeat(yes[len(ones[0]) :], twos[1])
-            solid = np.concatenate([names, np.frombuffer(b" ", np.uint8)])
+            langs, lang = row["langs"], read("word_lang", np.int32)
+            solid = np.concatenate([names, np.frombuffer(b" \n", np.uint8)])
+            space, end, bucket, packed = len(names), len(names) + 1, [], []
             for k in range(1, most + 1):
                 place, n = ones if k == 1 else twos if k == 2 else gram_counts(order, shared, left, k)
                 good = word_ok[code[place]]
                 for j in range(1, k):
                     good = good & word_ok[code[place + j]] & pair_ok[place + j - 1]
                 place, n = place[good], n[good]
-                # words and the spaces between them, one span after another
+                # words and the spaces between them, a line feed at the end, one span after another
                 words = np.stack([code[place + j] for j in range(k)], 1)
-                starts = np.full((len(place), 2 * k - 1), len(names), np.int64)
-                sizes = np.ones((len(place), 2 * k - 1), np.int64)
+                starts = np.full((len(place), 2 * k), space, np.int64)
+                starts[:, -1] = end
+                sizes = np.ones((len(place), 2 * k), np.int64)
                 starts[:, ::2], sizes[:, ::2] = begins[words], (ends - begins)[words]
-                text = gather(solid, starts.ravel(), sizes.ravel())
-                offsets = np.concatenate([[0], np.cumsum(sizes.sum(1))])
-                phrase = pa.Array.from_buffers(pa.large_string(), len(place), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text)])
-                lang = pa.DictionaryArray.from_arrays(pa.array(read("word_lang", np.int32)[words[:, 0]]), pa.array(row["langs"], pa.string())).dictionary_decode()
-                out.append(pa.table([lang, phrase.cast(pa.string()), pa.array(np.full(len(place), k, np.int32)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "k", "n"]))
-        empty = pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int32(), pa.int64())], names=["lang", "phrase", "k", "n"])
-        return pa.concat_tables([empty, *out])
-
-    sent = content.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(send, "lang string, phrase string, k int, n long")
-    grams = sent.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("k").alias("k")).where(F.col("f") >= least)
-    return saved(grams, "grams"), totals
+                packed.append((gathered(solid, starts.ravel(), sizes.ravel()), sizes.sum(1), lang[words[:, 0]], n))
+                bucket.append(bucket_of(pair_keys(hashes[code], place, k), buckets))
+            if not sum(map(len, bucket)):
+                continue
+            bucket, (text, length, lang, n) = np.concatenate(bucket), (np.concatenate(x) for x in zip(*packed, strict=True))
+            at = np.argsort(bucket, kind="stable")  # inside a bucket n-grams that begin alike stay together
+            text = gathered(text, (np.cumsum(length) - length)[at], length[at])
+            length, lang, n = length[at], lang[at].astype(np.int32), n[at]
+            cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[at]) != 0)), len(at))
+            edges = np.concatenate([[0], np.cumsum(length)])[cuts]
+            for i, j, a, b in zip(cuts, cuts[1:], edges, edges[1:], strict=False):
+                body = pack(lang[i:j].astype(np.int64), 4) + pack(n[i:j].astype(np.int64), 6) + text[a:b].tobytes()
+                out.append((int(bucket[at[i]]), langs, int(j - i), len(body), pa.compress(body, "zstd", asbytes=True)))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, _GRAM_TYPES, strict=True)], _GRAM_NAMES)
+
+    def add(rows: pa.Table) -> pa.Table:
+        parts = []
+        for row in rows.to_pylist():
+            body, n = pa.decompress(row["grams"], row["bytes"], "zstd", asbytes=True), row["n"]
+            phrase = pa.array(body[10 * n :].decode().split("\n")[:-1], pa.string())
+            lang = pa.DictionaryArray.from_arrays(pa.array(unpack(body[: 4 * n], 4).astype(np.int32)), pa.array(row["langs"], pa.string())).dictionary_decode()
+            parts.append(pa.table([lang, phrase, pa.array(unpack(body[4 * n : 10 * n], 6).astype(np.int64))], names=["lang", "phrase", "f"]))
+        total = pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        total = total.filter(pc.greater_equal(total["f_sum"], least))
+        k = pc.add(pc.count_substring(total["phrase"], " "), 1).cast(pa.int32())
+        return pa.table([total["lang"], total["phrase"], total["f_sum"], k], names=["lang", "phrase", "f", "k"])
+
+    sent = content.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(send, _GRAMS)
+    return saved(sent.groupBy("bucket").applyInArrow(add, "lang string, phrase string, f long, k int"), "grams"), totals
+
+
+#: N-grams of one shard and bucket: how many, and their langs, counts and words, compressed.
+_GRAMS = "bucket int, langs array<string>, n int, bytes long, grams binary"
+_GRAM_NAMES = [x.split()[0] for x in _GRAMS.split(", ")]
+_GRAM_TYPES = [pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int64(), pa.binary()]
 
 
 def bucket_count(docs: DataFrame, size: int) -> int:
