@@ -50,30 +50,47 @@ def write_generation(tables: dict[str, DataFrame], root: str) -> str:
 def promote(spark: SparkSession, root: str, generation: str, parent: str | None, checks: DataFrame | None = None) -> None:
     """Makes a generation the active one if ``checks`` (n_bad) are all zero and ``parent`` is still active.
 
-    Promotions are numbered files, and a number is claimed by creating its file where there is none: of
-    two promotions at once one fails. All files before stay.
+    Promotions are numbered files that hold the generation's name. One is written beside them and then
+    renamed to its number, which fails where that is taken: of two promotions at once one fails, and a
+    driver that dies before the rename leaves nothing that counts. A rename must be atomic and not replace a
+    file, as on HDFS; object stores without such a rename, and several drivers on one local folder, are not supported.
     """
     if checks is not None and (bad := checks.where("n_bad > 0").collect()):
         raise ValueError("checks failed: " + ", ".join(f"{r['check_name']} {r['n_bad']}" for r in bad))
     now, number = _latest(spark, root)
     if now != parent:
         raise ValueError(f"the active generation is {now}, not {parent}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/promotions/{number + 1:012d}-{generation}")
-    claim = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/claims/{number + 1:012d}")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    draft, place = hadoop.Path(f"{root}/drafts/{uuid.uuid4().hex}"), hadoop.Path(f"{root}/promotions/{number + 1:012d}")
+    files = draft.getFileSystem(conf)
+    out = files.create(draft, False)
+    out.write(bytearray(generation.encode()))
+    out.close()
+    files.mkdirs(place.getParent())
+    none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
     try:
-        files.create(claim, False).close()
+        hadoop.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(draft), files.makeQualified(place), none)
     except Py4JJavaError as error:
+        files.delete(draft, False)
         raise ValueError(f"promotion {number + 1} is another's") from error
-    files.create(path, False).close()
 
 
 def _latest(spark: SparkSession, root: str) -> tuple[str | None, int]:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/promotions")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = sorted(x.getPath().getName() for x in files.listStatus(path)) if files.exists(path) else []
-    number, _, generation = names[-1].partition("-") if names else ("0", "", None)
-    return generation, int(number)
+    if not names:
+        return None, 0
+    source = files.open(spark._jvm.org.apache.hadoop.fs.Path(path, names[-1]))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"), int(names[-1])
+    finally:
+        source.close()
+
+
+def latest(spark: SparkSession, root: str) -> str | None:
+    """The active generation; None before the first promotion."""
+    return _latest(spark, root)[0]
 
 
 def active(spark: SparkSession, root: str, table: str) -> DataFrame:
