@@ -95,9 +95,17 @@ def stable_key(*cols: str) -> Column:
 
 
 def repository_identity(url: Column) -> Column:
-    """host/owner/name of a Git remote in https, ssh or scp form, lower-cased, without .git."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"^(?:[a-z+]+://)?(?:[^@/]+@)?", ""), r"(?:\.git)?/*$", "")
-    return F.lower(F.regexp_replace(bare, r"^([^/:]+):(?:\d+/)?", "$1/"))
+    """host/path of a Git remote in URL or scp form: the host in lower case, the path as it is written.
+
+    User, port, query and fragment are left out, slashes count once, a last .git goes. Null for what is
+    neither form or has no path.
+    """
+    text = F.trim(url)
+    schemed, scp = text.contains("://"), r"^(?:[^@]+@)?([^:]+):(.+)$"
+    host = F.when(schemed, F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#@]+)", 1)).otherwise(F.regexp_extract(text, scp, 1))
+    path = F.when(schemed, F.regexp_extract(text, r"^[^:]+://[^/?#]*(/[^?#]*)", 1)).otherwise(F.regexp_extract(text, scp, 2))
+    plain = F.regexp_replace(F.array_join(F.filter(F.split(path, "/"), lambda x: x != ""), "/"), r"\.git$", "")
+    return F.when((host != "") & (plain != ""), F.concat(F.lower(host), F.lit("/"), plain))
 
 
 #: File suffixes and the language each stands for.

@@ -43,18 +43,18 @@ def witnesses(found: DataFrame, keys: DataFrame, state: str = "several") -> Data
 
 
 def scope_violations(checks: dict[str, tuple[DataFrame, DataFrame]], shown: int = 3) -> DataFrame:
-    """(check, n, witnesses): of each check (children: row, key, owner; parents: key, owner) how many children have another owner than the row they name.
+    """(rule, n, witnesses): of each check (children: row, key, owner; parents: key, owner) how many children have another owner than the row they name.
 
     Both owners must be told. The ``shown`` least rows are told, by a group limit.
     """
     parts = []
     for name, (children, parents) in checks.items():
         met = children.select("row", "key", "owner").join(parents.select("key", F.col("owner").alias("of")), "key").where("owner != of")
-        parts.append(met.select(F.lit(name).alias("check"), "row"))
+        parts.append(met.select(F.lit(name).alias("rule"), "row"))
     every = reduce(DataFrame.unionByName, parts)
-    counted = every.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
-    first = every.withColumn("_r", F.row_number().over(Window.partitionBy("check").orderBy("row"))).where(F.col("_r") <= shown).groupBy("check").agg(F.sort_array(F.collect_list("row")).alias("witnesses"))
-    return counted.join(first, "check")
+    counted = every.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    first = every.withColumn("_r", F.row_number().over(Window.partitionBy("rule").orderBy("row"))).where(F.col("_r") <= shown).groupBy("rule").agg(F.sort_array(F.collect_list("row")).alias("witnesses"))
+    return counted.join(first, "rule")
 
 
 def one_proven_owner(rows: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -75,3 +75,27 @@ def macro_micro(scores: DataFrame) -> DataFrame:
     """(macro_f1, micro_f1) of scores by facet: the facets' mean, and the score of all cases together."""
     tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
     return scores.agg(F.round(F.avg("f1"), 5).alias("macro_f1"), F.round(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("micro_f1"))
+
+
+#: What each of the seven shares of a catalog's score weighs.
+CATALOG_WEIGHTS = {"resolution": 0.2, "confidence": 0.15, "completeness": 0.15, "security": 0.15, "openapi": 0.15, "freshness": 0.1, "repositories": 0.1}
+
+
+def catalog_score(relations: DataFrame, roots: DataFrame, operations: DataFrame, specs: DataFrame, repositories: DataFrame, fresh: DataFrame, digits: int = 3) -> DataFrame:
+    """One row: the seven shares of a catalog and their weighted sum ``overall``, rounded half to even.
+
+    relations (confidence, loose: unresolved or heuristic), roots (rooted: an entity with a root), operations (broken: in
+    conflict or allowed without a definition), specs (doubtful: how many faults, 0 to 2), repositories (active), fresh (fresh: one
+    row). Empty tables count as without fault, or as 0 where a share of good ones is asked. Every table is
+    one aggregate of its own; only these single rows meet.
+    """
+    good = lambda bad, n: 1 - F.coalesce(bad, F.lit(0)) / F.greatest(n, F.lit(1))
+    share = lambda fine, n: F.coalesce(fine, F.lit(0)) / F.greatest(n, F.lit(1))
+    n = F.count(F.lit(1))
+    one = relations.agg(good(F.count_if("loose"), n).alias("resolution"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+    for df, column in (
+        (roots, share(F.count_if("rooted"), n).alias("completeness")), (operations, good(F.count_if("broken"), n).alias("security")),
+        (specs, good(F.sum("doubtful"), n).alias("openapi")), (fresh, F.when(F.coalesce(F.bool_and("fresh"), F.lit(False)), 1.0).otherwise(0.5).alias("freshness")), (repositories, share(F.count_if("active"), n).alias("repositories"))):
+        one = one.join(df.agg(column))
+    total = sum((F.col(c) * w for c, w in CATALOG_WEIGHTS.items()), F.lit(0.0))
+    return one.select(*[F.bround(F.col(c).cast("double"), digits).alias(c) for c in CATALOG_WEIGHTS], F.bround(total, digits).alias("overall"))

@@ -227,6 +227,21 @@ def risk_score(t: Tables) -> DataFrame:
     return one.select(rollups.risk(parts).alias("risk"))
 
 
+@query("""WITH a AS (SELECT 1 - count(*) FILTER (l_returnflag = 'R' OR l_quantity < 5) / greatest(count(*), 1) AS resolution, coalesce(avg(1 - l_discount), 0) AS confidence FROM lineitem),
+b AS (SELECT count(*) FILTER (o_orderkey IN (SELECT l_orderkey FROM lineitem)) / greatest(count(*), 1) AS completeness FROM orders), c AS (SELECT 1 - count(*) FILTER (event_type = 'error' OR value > 90) / greatest(count(*), 1) AS security FROM events),
+d AS (SELECT 1 - coalesce(sum(CAST(contains(url, '#') AS INTEGER) + CAST(contains(url, '?') AS INTEGER)), 0) / greatest(count(*), 1) AS openapi FROM pages), e AS (SELECT CASE WHEN count(*) = count(DISTINCT c_custkey) THEN 1.0 ELSE 0.5 END AS freshness FROM customer),
+f AS (SELECT count(*) FILTER (s_acctbal > 0) / greatest(count(*), 1) AS repositories FROM supplier)
+SELECT round_even(resolution, 3) AS resolution, round_even(confidence, 3) AS confidence, round_even(completeness, 3) AS completeness, round_even(security, 3) AS security, round_even(openapi, 3) AS openapi, CAST(freshness AS DOUBLE) AS freshness,
+  round_even(repositories, 3) AS repositories, round_even(0.2 * resolution + 0.15 * confidence + 0.15 * completeness + 0.15 * security + 0.15 * openapi + 0.1 * CAST(freshness AS DOUBLE) + 0.1 * repositories, 3) AS overall FROM a, b, c, d, e, f""")
+def catalog_risk(t: Tables) -> DataFrame:
+    relations = t.lineitem.select((1 - F.col("l_discount")).alias("confidence"), ((F.col("l_returnflag") == "R") | (F.col("l_quantity") < 5)).alias("loose"))
+    rooted = t.orders.select("o_orderkey").join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("rooted", F.lit(True)), "o_orderkey", "left").fillna(False, ["rooted"])
+    operations = t.events.select(((F.col("event_type") == "error") | (F.col("value") > 90)).alias("broken"))
+    specs = t.pages.select((F.col("url").contains("#").cast("int") + F.col("url").contains("?").cast("int")).alias("doubtful"))
+    fresh = t.customer.agg((F.count(F.lit(1)) == F.countDistinct("c_custkey")).alias("fresh"))
+    return rollups.catalog_score(relations, rooted, operations, specs, t.supplier.select((F.col("s_acctbal") > 0).alias("active")), fresh)
+
+
 @query("""WITH p AS (SELECT doc_id, lang FROM documents WHERE n_chars > 500), g AS (SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
 b AS (SELECT coalesce(p.lang, g.lang) AS lang, p.doc_id AS p, g.doc_id AS g FROM p FULL JOIN g ON p.doc_id = g.doc_id AND p.lang = g.lang),
 c AS (SELECT lang, count(*) FILTER (p IS NOT NULL AND g IS NOT NULL) AS tp, count(*) FILTER (g IS NULL) AS fp, count(*) FILTER (p IS NULL) AS fn FROM b GROUP BY lang)

@@ -25,10 +25,17 @@ def page_pointers(t: Tables) -> DataFrame:
     return t.pages.select("url", names.json_pointer(F.array(F.lit("pages"), "url")).alias("pointer"))
 
 
-@query(r"""SELECT url, lower(regexp_replace(regexp_replace(regexp_replace(trim(url), '^(?:[a-z+]+://)?(?:[^@/]+@)?', ''), '(?:\.git)?/*$', ''), '^([^/:]+):(?:\d+/)?', '\1/')) AS identity FROM pages""")
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages),
+c AS (SELECT *, array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') AS plain FROM p)
+SELECT page_id, CASE WHEN page_id % 5 < 4 AND plain <> '' THEN lower(host) || '/' || plain END AS identity FROM c""")
 def remote_identity(t: Tables) -> DataFrame:
-    """Each page's address as that of a Git remote."""
-    return t.pages.select("url", names.repository_identity(F.col("url")).alias("identity"))
+    """Each page's address as a Git remote in one of the forms there are."""
+    host, path = F.regexp_extract("url", r"^https?://([^/?#]+)", 1), F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1)
+    form = F.pmod("page_id", F.lit(5))
+    remote = (
+        F.when(form == 0, F.concat(F.lit("https://"), F.upper(host), path, F.lit(".git?x=1#top"))).when(form == 1, F.concat(F.lit(" ssh://git@"), host, F.lit(":22/"), path, F.lit("/")))
+        .when(form == 2, F.concat(F.lit("git@"), host, F.lit(":"), path, F.lit("//"))).when(form == 3, F.concat(F.upper(host), F.lit(":"), path)).otherwise(F.concat(host, path)))
+    return t.pages.select("page_id", names.repository_identity(remote).alias("identity"))
 
 
 @query("SELECT DISTINCT l_partkey, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey")

@@ -110,10 +110,10 @@ def owner_witnesses(t: Tables) -> DataFrame:
     return ownership.witnesses(ownership.owners(rows, keys), keys)
 
 
-@query("""WITH v AS (SELECT 'line_supplier' AS check, 'L' || l_orderkey || '/' || l_linenumber || '/' || l_partkey AS row FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey
+@query("""WITH v AS (SELECT 'line_supplier' AS rule, 'L' || l_orderkey || '/' || l_linenumber || '/' || l_partkey AS row FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey
   UNION ALL SELECT 'customer_nation', 'C' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> c_custkey % 5),
-r AS (SELECT *, row_number() OVER (PARTITION BY check ORDER BY row) AS r FROM v)
-SELECT check, count(*) AS n, string_agg(row, ' ' ORDER BY row) FILTER (r <= 3) AS witnesses FROM r GROUP BY check""")
+r AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY row) AS r FROM v)
+SELECT rule, count(*) AS n, string_agg(row, ' ' ORDER BY row) FILTER (r <= 3) AS witnesses FROM r GROUP BY rule""")
 def scope_violations(t: Tables) -> DataFrame:
     line = F.concat(F.lit("L"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")))
     owned = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -122,7 +122,7 @@ def scope_violations(t: Tables) -> DataFrame:
     found = ownership.scope_violations({
         "line_supplier": (lines, t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("owner"))),
         "customer_nation": (customers, t.nation.select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("owner")))})
-    return found.select("check", "n", F.array_join("witnesses", " ").alias("witnesses"))
+    return found.select("rule", "n", F.array_join("witnesses", " ").alias("witnesses"))
 
 
 @query("""SELECT p_partkey AS row, count(DISTINCT s_nationkey) AS n_owners, CASE WHEN count(DISTINCT s_nationkey) = 1 THEN min(s_nationkey) END AS owner FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 48 LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1""")

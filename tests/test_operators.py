@@ -118,7 +118,8 @@ def test_names(spark):
     assert [pick(names.to_bool(F.lit(x))) for x in ("Yes", "0", "maybe")] == [True, False, None]
     assert [pick(names.to_int(F.lit(x))) for x in (" -12", "1.5", "x")] == [-12, None, None]
     assert pick(names.json_pointer(F.array(F.lit("a/b"), F.lit("c~d")))) == "/a~1b/c~0d"
-    assert {pick(names.repository_identity(F.lit(u))) for u in ("https://user@h.com/O/n.git", "git@h.com:o/N.git", "ssh://git@h.com:22/o/n/")} == {"h.com/o/n"}
+    assert {pick(names.repository_identity(F.lit(u))) for u in ("https://user@H.com/O/n.git", "git@h.com:O/n.git", "ssh://git@h.COM:22//O/n/", "h.com:/O/n", " https://h.com/O/n?x=1#y ")} == {"h.com/O/n"}
+    assert {pick(names.repository_identity(F.lit(u))) for u in ("h.com/O/n", "https://h.com/", "https://h.com", "", "git@h.com:/")} == {None} and pick(names.repository_identity(F.lit("git@h.com:o/n"))) == "h.com/o/n"
     assert pick(names.language(F.lit("a/b.PHP"))) == "php" and pick(names.language(F.lit("Makefile"))) == "unknown"
 
 
