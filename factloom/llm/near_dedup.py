@@ -89,11 +89,12 @@ def weigh(times: np.ndarray, df: np.ndarray, n_texts: int) -> np.ndarray:
     return np.clip(np.round(np.log(times * np.maximum(idf, 1)) / np.log(STEP)), 0, 65535).astype(np.uint16)
 
 
-def _uniform(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniform numbers in (0, 1) for each hash, of 24 bits."""
-    y = mixed64(x ^ U(seed * 0xD6E8FEB86659FD93 % (1 << 64)))
-    u = ((y.view(np.uint32) >> np.uint32(8)).view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-    return u[0::2], u[1::2]
+def _uniform(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Three uniform numbers in (0, 1) for each hash, two of 24 bits and one of the other 16."""
+    y = mixed64(x ^ U(seed * 0xD6E8FEB86659FD93 % (1 << 64))).view(np.uint32)
+    u = ((y >> np.uint32(8)).view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    low = (y & np.uint32(255)).astype(np.float32)
+    return u[0::2], u[1::2], (low[0::2] * np.float32(256) + low[1::2] + np.float32(0.5)) * np.float32(2.0**-16)
 
 
 def signatures(hashes: np.ndarray, doc: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -115,9 +116,8 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, weights: np.ndarray, n: int)
     for j in range(BANDS * ROWS):
         for at in range(0, len(doc), block):
             part = slice(at, at + block)
-            u1, u2 = _uniform(hashes[part], 3 * j + 1)
-            u3, u4 = _uniform(hashes[part], 3 * j + 2)
-            b, _ = _uniform(hashes[part], 3 * j + 3)
+            u1, u2, b = _uniform(hashes[part], 2 * j + 1)
+            u3, u4, _ = _uniform(hashes[part], 2 * j + 2)
             r, c = -np.log(u1 * u2), -np.log(u3 * u4)
             steps = np.floor(log_w[part] / r + b)
             t[part] = steps
