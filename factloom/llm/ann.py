@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from itertools import count
 
 import numpy as np
@@ -10,13 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.batches import saved_by
 from factloom.llm.common import removed, running_start, saved
 
 #: Vectors that one block of the first graph compares with one another, and nodes that one task group updates.
 BLOCK, CHUNK = 512, 256
+#: Sets of hyperplanes that order the vectors for their first edges.
+TABLES = 4
 #: The graph is grown until a smaller share of its edges is new; queries that measure the search, and
-#: the share of their true neighbours that it must find; nodes that every search starts from.
-SETTLED, SAMPLE, RECALL, ENTRIES = 0.05, 64, 0.93, 32
+#: the share of their true neighbours that it must find; nodes that every search starts from, and that
+#: it starts from in each cell of hashed hyperplanes that a query lies in.
+SETTLED, SAMPLE, RECALL, ENTRIES, DOORS = 0.05, 64, 0.93, 32, 4
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -42,8 +47,25 @@ def scaled(rows: DataFrame, narrow: bool) -> tuple[DataFrame, float]:
     return rows.withColumn("v", F.transform("v", lambda x: (x * F.lit(2.0**-power)).cast(kind))), 2.0**power
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), float) if len(column) else np.zeros((0, 1))
+def packed(rows: DataFrame, kind: str, column: str = "v") -> DataFrame:
+    """``rows`` with the vector ``column`` as the bytes of its components, floats ("f4") or doubles ("f8")."""
+    at = rows.columns.index(column)
+    schema = ", ".join(f"{c} {'binary' if c == column else t}" for c, t in rows.dtypes)
+
+    def pack(batches):
+        for batch in batches:
+            v = batch.column(at)
+            flat = v.flatten().to_numpy(zero_copy_only=False).astype(kind)
+            step = flat.nbytes // max(1, batch.num_rows)
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * np.int32(step)
+            bytes_ = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes())])
+            yield pa.RecordBatch.from_arrays([bytes_ if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return rows.mapInArrow(pack, schema)
+
+
+def _matrix(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(float)
 
 
 def _top(owner: np.ndarray, other: np.ndarray, d: np.ndarray, fresh: np.ndarray, k: int) -> pd.DataFrame:
@@ -67,21 +89,28 @@ def _distances(v: np.ndarray) -> np.ndarray:
     return np.maximum(sq[:, None] + sq[None, :] - 2 * (v @ v.T), 0)
 
 
-def _blocks(nodes: DataFrame, dims: int, tables: int, k: int, n: int) -> DataFrame:
-    """First edges: in several orders by hashed hyperplanes, each block of near rows compares its own."""
+def cells(rows: DataFrame, name: str, kind: str, dims: int, tables: int, n: int) -> DataFrame:
+    """(name, t, code, p) of every vector: its cell of hashed hyperplanes in each of ``tables`` sets, and its place along one more."""
     planes = max(1, int(np.log2(max(2, n / BLOCK))) + 1)
-    found = None
-    for t in range(tables):
-        rng = np.random.default_rng(1000 + t)
-        normal = rng.standard_normal((planes + 1, dims))
-        dot = lambda w: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        code = F.concat(*[F.when(dot(w) > 0, F.lit("1")).otherwise(F.lit("0")) for w in normal[:-1]])
-        placed = running_start(nodes.select("node", code.alias("code"), dot(normal[-1]).alias("p"), F.lit(1).alias("one")), ["code", "p", "node"], "one", "place")
-        part = placed.select("node", (F.floor(F.col("place") / BLOCK) * tables + t).alias("block"))
-        found = part if found is None else found.unionByName(part)
+    normal = [np.random.default_rng(1000 + t).standard_normal((planes + 1, dims)) for t in range(tables)]
+
+    def code(batches):
+        for rows in batches:
+            v = _matrix(rows["v"], kind)
+            for t, w in enumerate(normal):
+                side = v @ w.T
+                yield pd.DataFrame({name: rows[name], "t": t, "code": (side[:, :-1] > 0) @ (1 << np.arange(planes)), "p": side[:, -1]})
+
+    return rows.select(name, "v").mapInPandas(code, f"{name} long, t int, code long, p double")
+
+
+def _blocks(nodes: DataFrame, placed: DataFrame, kind: str, k: int) -> DataFrame:
+    """First edges: in the order of each set of hyperplanes each block of near rows compares its own."""
+    placed = running_start(placed.withColumn("one", F.lit(1)), ["t", "code", "p", "node"], "one", "place")
+    blocks = placed.select("node", "t", F.floor(F.col("place") / BLOCK).alias("block"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, v = rows["node"].to_numpy(), _matrix(rows["v"])
+        ids, v = rows["node"].to_numpy(), _matrix(rows["v"], kind)
         d = _distances(v)
         np.fill_diagonal(d, np.inf)
         m = min(k, len(ids) - 1)
@@ -90,20 +119,18 @@ def _blocks(nodes: DataFrame, dims: int, tables: int, k: int, n: int) -> DataFra
         near = np.argpartition(d, m - 1, axis=1)[:, :m]
         return pd.DataFrame({"node": np.repeat(ids, m), "other": ids[near].ravel(), "d": np.take_along_axis(d, near, 1).ravel(), "fresh": True})
 
-    return found.join(nodes, "node").groupBy("block").applyInPandas(compare, _EDGE)
+    return blocks.join(nodes, "node").groupBy("t", "block").applyInPandas(compare, _EDGE)
 
 
-def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int | None = None, tables: int = 4) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, placed: DataFrame, kind: str, n: int, k: int = 20, rounds: int | None = None) -> DataFrame:
     """Edges (node, other, d) to about the ``k`` nearest of each node, d the squared distance.
 
-    ``nodes`` (node, v) have distinct vectors of one length. Every round joins each node's
+    ``nodes`` (node, v) have ``n`` distinct packed vectors of one length, saved by node; ``placed`` their :func:`cells`. Every round joins each node's
     neighbours, forward and reverse, with their vectors, compares them with one another where one of
     the two is new, and offers each the nearer ones; the k nearest stay. A node meets ``k`` of its
     reverse neighbours, chosen by hash anew each round, so a hub's group stays small. Rounds end when
     under 5 % of the edges are new, or after ``rounds`` where that is given.
     """
-    first = nodes.first()
-    dims, n = (len(first["v"]), nodes.count()) if first else (1, 0)
     chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, n // CHUNK)))
     paths: list[str] = []
 
@@ -115,13 +142,14 @@ def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int | None = None, ta
         out = saved(edges.withColumn("chunk", chunk("node")).groupBy("chunk").applyInPandas(merge, _EDGE), "edges", written)
         removed(nodes.sparkSession, paths)
         paths.extend(written)
+        swept(nodes.sparkSession)
         return out
 
     def offer(rows: pd.DataFrame) -> pd.DataFrame:
         """Pairs among the members of each node, for the members that gain by them."""
         rows = rows.sort_values(["node", "other"], kind="stable")
         node, ids, fresh, radius = (rows[c].to_numpy() for c in ("node", "other", "fresh", "radius"))
-        v = _matrix(rows["v"])
+        v = _matrix(rows["v"], kind)
         edges = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
         out: list[tuple] = []
         for a, b in zip(edges, edges[1:], strict=False):
@@ -138,7 +166,7 @@ def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int | None = None, ta
         best = _top(got[0], got[1], got[2], np.ones(len(got[0]), bool), k)
         return best
 
-    edges = merged(_blocks(nodes, dims, tables, k, n))
+    edges = merged(_blocks(nodes, placed, kind, k))
     vectors = nodes.select(F.col("node").alias("other"), "v")
     for turn in count() if rounds is None else range(rounds):
         radius = edges.groupBy("node").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf")).alias("radius")).withColumnRenamed("node", "other")
@@ -154,6 +182,12 @@ def neighbour_graph(nodes: DataFrame, k: int = 20, rounds: int | None = None, ta
     return edges.select("node", "other", "d")
 
 
+def swept(spark) -> None:
+    """Lets Spark delete the shuffles of steps that nothing refers to any more: it does so after a garbage collection of the driver."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _state(rows: pd.DataFrame, ef: int, width: int) -> pd.DataFrame:
     """Known nodes of each query, the ``ef`` nearest; the ``width`` nearest unvisited are next."""
     order = np.lexsort((~rows["visited"].to_numpy(), rows["other"].to_numpy(), rows["d"].to_numpy(), rows["query"].to_numpy()))
@@ -173,18 +207,18 @@ def neighbours(graph: DataFrame, most: int = 40) -> DataFrame:
     """Links (node, others) of the graph, forward and up to ``most`` of the reverse ones by hash."""
     chosen = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("other")))
     back = graph.select(F.col("other").alias("node"), F.col("node").alias("other")).withColumn("_r", chosen).where(F.col("_r") <= most).drop("_r")
-    return saved(graph.select("node", "other").unionByName(back).groupBy("node").agg(F.collect_set("other").alias("others")), "links")
+    return saved_by(graph.select("node", "other").unionByName(back).groupBy("node").agg(F.collect_set("other").alias("others")), "links", "node")
 
 
-def true_nearest(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def true_nearest(nodes: DataFrame, queries: DataFrame, kind: str, k: int) -> DataFrame:
     """The ``k`` nearest nodes (query, other) but its own of a few ``queries`` (query, qv, own), by all distances."""
     asked = queries.collect()
-    own, qv = [x["own"] for x in asked], np.array([x["qv"] for x in asked], float)
+    own, qv = [x["own"] for x in asked], [np.frombuffer(x["qv"], kind).astype(float) for x in asked]
     names = [x["query"] for x in asked]
 
     def near(parts):
         for rows in parts:
-            ids, v = rows["node"].to_numpy(), _matrix(rows["v"])
+            ids, v = rows["node"].to_numpy(), _matrix(rows["v"], kind)
             for i, name in enumerate(names):
                 d = ((v - qv[i]) ** 2).sum(1)
                 if own[i] is not None:
@@ -197,68 +231,73 @@ def true_nearest(nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return met.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("d", "other"))).where(F.col("_r") <= k).select("query", "other")
 
 
-def wide_enough(nodes: DataFrame, links: DataFrame, queries: DataFrame, k: int, ef: int) -> int:
-    """``ef``, or the first width, half as much again each time, that finds 93 % of the true neighbours of 64 queries.
-
-    The 64 are those of least hash and are held against all nodes, 64 distances a node whatever the table.
-    """
-    sample = saved(queries.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
-    true, n = saved(true_nearest(nodes, sample, k), "true"), nodes.count()
-    wanted = true.count()
-    while ef < n and search(nodes, links, sample, ef).join(true, ["query", "other"], "left_semi").count() < RECALL * wanted:
-        ef += -(-ef // 2)
-    return ef
+def doors(placed: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, other): a few nodes of least hash in each cell that a query lies in."""
+    least = F.row_number().over(Window.partitionBy("t", "code").orderBy(F.xxhash64("node"), "node"))
+    open_ = placed.select("t", "code", "node").withColumn("_r", least).where(F.col("_r") <= DOORS)
+    return asked.select("query", "t", "code").join(open_, ["t", "code"]).select("query", F.col("node").alias("other"))
 
 
-def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, ef: int) -> DataFrame:
-    """Nodes (query, other, d) that a greedy search for ``queries`` (query, qv) meets, the ``ef`` nearest.
+def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, begin: DataFrame, kind: str, k: int, ef: int) -> DataFrame:
+    """Nodes (query, other, d) that a greedy search for ``queries`` (query, qv, own) meets, the nearest of them.
 
-    Every search starts from the same 32 nodes, those of least hash, and from its own node (``own``) if it
-    has one. Each step expands the nearest nodes of every query that it has not visited among its
-    ``ef`` nearest, 32 or a quarter of ``ef``, by a join with the graph, until none is left.
+    Every search starts from the same 32 nodes, those of least hash, from the nodes that ``begin`` (query,
+    other) names and from its own. Each step expands the nearest nodes of every query that it has not visited among its
+    ``ef`` nearest, 32 or a quarter of ``ef``, by a join with the graph, until none is left. Then 64
+    queries, those of least hash, are held against all nodes; while less than 93 % of their true
+    neighbours are found, the same search goes on half as wide again. One as wide as the table that
+    still misses them ends in an error.
     """
-    width = max(32, ef // 4)
+    spark = nodes.sparkSession
     queries = saved(queries.select("query", "qv", "own"), "queries")
-    n = queries.count()
+    n, many = queries.count(), nodes.count()
     chunk = F.pmod(F.xxhash64("query"), F.lit(max(1, n // 16)))
-    gates = nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
-    gate, at = np.array([x["node"] for x in gates], np.int64), np.array([x["v"] for x in gates], float)
-
-    def begin(parts):
-        for rows in parts:
-            for query, qv, own in zip(rows["query"], rows["qv"], rows["own"], strict=True):
-                here = [] if pd.isna(own) else [int(own)]
-                others, d = np.append(gate, np.array(here, np.int64)), np.append(((at - np.asarray(qv, float)) ** 2).sum(1), np.zeros(len(here)))
-                yield pd.DataFrame({"query": query, "other": others, "d": d, "visited": False, "next": False})
+    sample = saved(queries.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
+    true = saved(true_nearest(nodes, sample, kind, k), "true")
+    wanted = true.count()
+    asking = queries.select("query", "qv")
+    size = queries.agg(F.sum(F.octet_length("qv"))).first()[0] or 0
+    asking = F.broadcast(asking) if size <= 8_000_000 else asking
+    gates = nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
 
     def measure(batches):
         for rows in batches:
-            qv, v = (rows.column(c).flatten().to_numpy().reshape(rows.num_rows, -1).astype(float) for c in ("qv", "v"))
+            qv, v = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).reshape(rows.num_rows, -1).astype(float) for c in ("qv", "v"))
             yield pa.RecordBatch.from_arrays([rows.column("query"), rows.column("other"), pa.array(((v - qv) ** 2).sum(1))], ["query", "other", "d"])
 
-    def update(rows: pd.DataFrame) -> pd.DataFrame:
-        return _state(rows, ef, width)
+    def measured(met: DataFrame) -> DataFrame:
+        """Ids travel to the vectors, which stay where they are."""
+        return met.withColumnRenamed("other", "node").join(nodes, "node").withColumnRenamed("node", "other").join(asking, "query").select("query", "other", "qv", "v").mapInArrow(measure, "query long, other long, d double")
 
     schema = "query long, other long, d double, visited boolean, next boolean"
     paths: list[str] = []
-    vectors = nodes.select(F.col("node").alias("other"), "v")
-    started = queries.mapInPandas(begin, schema)
-    state = saved(started.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(update, schema), "state", paths)
+
+    def kept(rows: DataFrame) -> DataFrame:
+        width = max(32, ef // 4)
+        written: list[str] = []
+        out = saved(rows.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(lambda g: _state(g, ef, width), schema), "state", written)
+        removed(spark, paths)
+        paths.extend(written)
+        return out
+
+    own = queries.where("own is not null").select("query", F.col("own").alias("other"))
+    first = queries.select("query").join(F.broadcast(gates.withColumnRenamed("node", "other"))).unionByName(own).unionByName(begin)  # 32 rows
+    state = kept(measured(first.distinct()).withColumn("visited", F.lit(False)))
     while True:
         front = state.where("next").select("query", F.col("other").alias("node"))
         if front.isEmpty():
-            break
-        # nodes that are new to the query travel as ids, and only then meet their vectors
+            hits = state.join(F.broadcast(true), ["query", "other"], "left_semi").count()  # k rows for each of 64 queries
+            if hits >= RECALL * wanted:
+                break
+            if ef >= many:
+                raise RuntimeError(f"a search as wide as the table finds {hits} of {wanted} true neighbours")
+            ef += -(-ef // 2)
+            state = kept(state.select("query", "other", "d", "visited"))
+            continue
         met = front.join(links, "node").select("query", F.explode("others").alias("other")).distinct().join(state.select("query", "other"), ["query", "other"], "left_anti")
-        asking = queries.drop("own")
-        met = met.join(vectors, "other").join(F.broadcast(asking) if n * max(1, at.shape[-1]) <= 1_000_000 else asking, "query")
-        found = met.mapInArrow(measure, "query long, other long, d double")
         old = state.select("query", "other", "d", (F.col("visited") | F.col("next")).alias("visited"))
-        both = old.unionByName(found.withColumn("visited", F.lit(False))).withColumn("chunk", chunk)
-        written: list[str] = []
-        state = saved(both.groupBy("chunk").applyInPandas(update, schema), "state", written)
-        removed(nodes.sparkSession, paths)
-        paths = written
+        state = kept(old.unionByName(measured(met).withColumn("visited", F.lit(False))))
+        swept(spark)
     return state.select("query", "other", "d")
 
 
@@ -275,9 +314,17 @@ def _ranked(rows: DataFrame, queries: DataFrame, k: int, ef: int, degree: int, r
     # equal vectors ask once; a vector that is in the table knows its node
     queries = saved(both.where("asks").select(F.col("vec_id").alias("query_id"), "v", "own").join(groups.withColumnRenamed("node", "here"), "v", "left"), "asked")
     asked = saved(queries.groupBy("v").agg(F.min("query_id").alias("query"), F.min("here").alias("own")).select("query", F.col("v").alias("qv"), "own"), "starts")
-    graph = neighbour_graph(nodes, degree, rounds)
-    links = neighbours(graph)
-    found = search(nodes, links, asked, wide_enough(nodes, links, asked, k, ef))
+    first = nodes.first()
+    if first is None or asked.isEmpty():
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dims, n = len(first["v"]), nodes.count()
+    kind = "f4" if nodes.schema["v"].dataType.simpleString() == "array<float>" else "f8"
+    flat = saved_by(packed(nodes, kind), "vectors", "node")
+    placed = saved(cells(flat, "node", kind, dims, TABLES, n), "cells")
+    links = neighbours(neighbour_graph(flat, placed, kind, n, degree, rounds))
+    flat_asked = saved(packed(asked, kind, "qv"), "packed")
+    begin = doors(placed, cells(flat_asked.select("query", F.col("qv").alias("v")), "query", kind, dims, TABLES, n))
+    found = search(flat, links, flat_asked, begin, kind, k, ef)
     close = found.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("d", "other"))).where(F.col("_r") <= 4 * k + 1)
     apart = F.zip_with("qv", "cv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
     exact = (
@@ -299,9 +346,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 256, degree: in
     """The ``k`` nearest found of each query row: query_id, rank, vec_id, score (Euclidean distance).
 
     Every usable row is indexed; equal vectors are one node of the graph, and of a node the ``k + 1``
-    smallest ids can be results. The graph search starts from 32 nodes that all queries share and from
-    the query's own; its width starts at ``ef`` and grows until it finds 93 % of the true neighbours of 64 of the queries,
-    which are held against all nodes. Distances are computed in double precision on the vectors, of any
+    smallest ids can be results. The graph search starts from 32 nodes that all queries share, from some of the
+    cells of hashed hyperplanes that the query lies in, and from the query's own; its width starts at ``ef`` and
+    grows until it finds 93 % of the true neighbours of 64 of the queries, which are held against all nodes. Distances are computed in double precision on the vectors, of any
     scale; nearest first, equal ones by smaller id. The query itself is no candidate.
 
     Null, zero, and non-finite vectors take no part; a vector has neighbours among those of its own
