@@ -20,10 +20,12 @@ def required_paths(files: DataFrame, pattern: str = REQUIRED) -> DataFrame:
 
 
 def settled(path):
-    """``path`` without empty, ``.`` and ``..`` segments, as one fold with a stack; one that leaves the root keeps nothing above it."""
-    up = lambda stack: F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+    """``path`` without empty, ``.`` and ``..`` segments, as one fold with a stack; what leads above the root keeps its dots."""
+    none = F.expr("cast(array() as array<string>)")
+    top = lambda stack: F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(".."))
+    up = lambda stack: F.when(top(stack) == "..", F.array_append(stack, F.lit(".."))).otherwise(F.slice(stack, F.lit(1), F.size(stack) - 1))
     step = lambda stack, s: F.when(s.isin("", "."), stack).when(s == "..", up(stack)).otherwise(F.array_append(stack, s))
-    return F.array_join(F.aggregate(F.split(path, "/"), F.expr("cast(array() as array<string>)"), step), "/")
+    return F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
 
 
 def _folder(path):

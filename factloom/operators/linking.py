@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.closure import settled
+
 
 def endpoint_matches(requests: DataFrame, endpoints: DataFrame, compatible: DataFrame) -> DataFrame:
     """Requests (request_id, method, path, version) with endpoints (endpoint_id, method, path, version).
@@ -46,10 +48,7 @@ def ref_targets(refs: DataFrame, files: DataFrame) -> DataFrame:
     """
     file = F.regexp_replace("ref", "#.*$", "")
     folder = F.regexp_replace("source_path", "[^/]+$", "")
-    joined = F.when(file.startswith("/"), F.regexp_replace(file, "^/+", "")).otherwise(F.concat(folder, F.regexp_replace(file, r"^(?:\./)+", "")))
-    # a/../ goes once per pass; references climb a few levels at most
-    for _ in range(6):
-        joined = F.regexp_replace(joined, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    joined = settled(F.when(file.startswith("/"), file).otherwise(F.concat(folder, file)))
     wanted = refs.withColumn("_file", file).withColumn("_path", joined)
     low = files.groupBy(F.lower("path").alias("_low")).agg(F.countDistinct("path").alias("_k"), F.min("path").alias("_other")).where("_k = 1")
     out = wanted.join(files.select(F.col("path").alias("_path"), F.col("path").alias("_exact")).distinct(), "_path", "left").join(low, F.lower("_path") == F.col("_low"), "left")

@@ -73,3 +73,18 @@ def structural_labels(t: Tables) -> DataFrame:
         t.part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_type").alias("label")))
     found = graph.structural_labels(nodes, supply(t))
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def _rounds(n: int) -> str:
+    """Colour refinement in SQL, ``n`` rounds written out: more than the graph needs to settle."""
+    return ", ".join(
+        f"n{i} AS (SELECT node, string_agg(x, ',' ORDER BY x) AS a FROM (SELECT b.node, d || label || count(*) AS x FROM b JOIN l{i - 1} AS l ON l.node = other GROUP BY b.node, d, label) GROUP BY node), "
+        f"l{i} AS (SELECT node, md5(label || coalesce(a, '')) AS label FROM l{i - 1} LEFT JOIN n{i} USING (node))" for i in range(1, n + 1))
+
+
+@query(f"""WITH e AS (SELECT DISTINCT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst FROM lineitem), b AS (SELECT src AS node, dst AS other, '>' AS d FROM e UNION ALL SELECT dst, src, '<' FROM e),
+l0 AS (SELECT 'S' || s_suppkey AS node, md5('supplier') AS label FROM supplier UNION ALL SELECT 'P' || p_partkey, md5(p_type) FROM part), {_rounds(6)}
+SELECT n_nodes, count(*) AS n_classes FROM (SELECT label, count(*) AS n_nodes FROM l6 GROUP BY label) GROUP BY n_nodes""")
+def structural_class_sizes(t: Tables) -> DataFrame:
+    """How many classes of structurally equal nodes there are of each size; labels themselves are hashes of another kind in SQL."""
+    return structural_labels(t).groupBy("n_nodes").agg(F.count(F.lit(1)).alias("n_classes"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.names import language
+from factloom.sources.parsed import json_leaves  # noqa: F401
 
 #: Directories that a scan leaves out.
 EXCLUDED = (".git", "node_modules", "vendor", "dist", "build", "__pycache__")
@@ -81,26 +82,6 @@ def yaml_documents(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, "path string, document int, json string, problem string")
 
 
-def json_leaves(df: DataFrame, key: str, col: str) -> DataFrame:
-    """(key, pointer, value) of every scalar of a JSON column, with RFC 6901 pointers.
-
-    Levels are opened one after another by ``variant_explode``, for as many levels as there are.
-    """
-    now = df.select(key, F.lit("").alias("pointer"), F.try_parse_json(col).alias("v")).where("v is not null")
-    out = None
-    while True:
-        now = now.withColumn("kind", F.schema_of_variant("v"))
-        nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
-        leaf = now.where(~nested).select(key, "pointer", F.col("v").cast("string").alias("value"))
-        out = leaf if out is None else out.unionByName(leaf)
-        below = now.where(nested)
-        if below.isEmpty():
-            return out
-        below.createOrReplaceTempView("_leaves")
-        step = "replace(replace(coalesce(e.key, cast(e.pos as string)), '~', '~0'), '/', '~1')"
-        now = df.sparkSession.sql(f"select `{key}`, concat(pointer, '/', {step}) as pointer, e.value as v from _leaves, lateral variant_explode(v) e")
-
-
 def xml_elements(files: DataFrame, tag: str, attributes: list[str]) -> DataFrame:
     """(path, ordinal, one column for each attribute) of the elements ``tag``; unsafe files give no rows.
 
