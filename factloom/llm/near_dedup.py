@@ -20,7 +20,7 @@ GROUP = 64
 #: Centres of a bucket in a round are so many times those of the round before; shingles of a group held as one table.
 WIDER, TABLE = 16, 1 << 15
 #: Bytes of text in a batch and words that a bucket gets about; the arrays of either are what a task holds.
-BATCH, BUCKET = 6_000_000, 1_000_000
+BATCH, BUCKET = 10_000_000, 2_000_000
 #: Bits of a text's sketch.
 SKETCH = 32
 #: Tasks that the members of one band are dealt to where they are joined with what is known of the band.
@@ -89,12 +89,14 @@ def weigh(times: np.ndarray, df: np.ndarray, n_texts: int) -> np.ndarray:
     return np.clip(np.round(np.log(times * np.maximum(idf, 1)) / np.log(STEP)), 0, 65535).astype(np.uint16)
 
 
-def _uniform(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Three uniform numbers in (0, 1) for each hash, two of 24 bits and one of the other 16."""
-    y = mixed64(x ^ U(seed * 0xD6E8FEB86659FD93 % (1 << 64))).view(np.uint32)
-    u = ((y >> np.uint32(8)).view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-    low = (y & np.uint32(255)).astype(np.float32)
-    return u[0::2], u[1::2], (low[0::2] * np.float32(256) + low[1::2] + np.float32(0.5)) * np.float32(2.0**-16)
+def _uniform(x: np.ndarray, seed: int, third: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Two uniform numbers in (0, 1) of 24 bits for each hash, and on demand a third of the other 16."""
+    y = mixed64(x ^ U(seed * 0xD6E8FEB86659FD93 % (1 << 64)))
+    u = ((y.view(np.uint32) >> np.uint32(8)).view(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    if not third:
+        return u[0::2], u[1::2], None
+    low = (y >> U(24) & U(0xFF00) | y & U(0xFF)).astype(np.int32).astype(np.float32)
+    return u[0::2], u[1::2], (low + np.float32(0.5)) * np.float32(2.0**-16)
 
 
 def signatures(hashes: np.ndarray, doc: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -116,7 +118,7 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, weights: np.ndarray, n: int)
     for j in range(BANDS * ROWS):
         for at in range(0, len(doc), block):
             part = slice(at, at + block)
-            u1, u2, b = _uniform(hashes[part], 2 * j + 1)
+            u1, u2, b = _uniform(hashes[part], 2 * j + 1, True)
             u3, u4, _ = _uniform(hashes[part], 2 * j + 2)
             r, c = -np.log(u1 * u2), -np.log(u3 * u4)
             steps = np.floor(log_w[part] / r + b)
