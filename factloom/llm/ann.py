@@ -19,9 +19,8 @@ BLOCK, CHUNK = 512, 256
 #: Sets of hyperplanes that order the vectors for their first edges.
 TABLES = 4
 #: The graph is grown until a smaller share of its edges is new; queries that measure the search, and
-#: the share of their true neighbours that it must find; nodes that every search starts from, and that
-#: it starts from in each cell of hashed hyperplanes that a query lies in.
-SETTLED, SAMPLE, RECALL, ENTRIES, DOORS = 0.05, 64, 0.93, 32, 4
+#: the share of their true neighbours that it must find; nodes that every search starts from.
+SETTLED, SAMPLE, RECALL, ENTRIES = 0.05, 64, 0.93, 32
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -232,10 +231,14 @@ def true_nearest(nodes: DataFrame, queries: DataFrame, kind: str, k: int) -> Dat
 
 
 def doors(placed: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, other): a few nodes of least hash in each cell that a query lies in."""
-    least = F.row_number().over(Window.partitionBy("t", "code").orderBy(F.xxhash64("node"), "node"))
-    open_ = placed.select("t", "code", "node").withColumn("_r", least).where(F.col("_r") <= DOORS)
-    return asked.select("query", "t", "code").join(open_, ["t", "code"]).select("query", F.col("node").alias("other"))
+    """(query, other): in each cell that a query lies in, the nodes right before and after it along the cell's order.
+
+    A cell holds about a block of nodes; a larger one, of vectors that no plane parts, is sorted by one task, spilling.
+    """
+    both = placed.select("t", "code", "p", "node").withColumn("query", F.lit(None).cast("long")).unionByName(asked.select("t", "code", "p", F.lit(None).cast("long").alias("node"), "query"))
+    side = lambda *order: F.last("node", ignorenulls=True).over(Window.partitionBy("t", "code").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("before", side(F.asc("p"), F.asc_nulls_last("node"))).withColumn("after", side(F.desc("p"), F.desc_nulls_last("node")))
+    return met.where("query is not null").select("query", F.explode(F.array_compact(F.array("before", "after"))).alias("other"))
 
 
 def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, begin: DataFrame, kind: str, k: int, ef: int) -> DataFrame:

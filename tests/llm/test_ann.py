@@ -62,3 +62,15 @@ def test_a_narrow_search_is_widened(spark):
     got = found(nearest(table, F.col("vec_id") % 50 == 0, ef=64, degree=5, rounds=1))
     hits = sum(len(set(by_all_distances(v, v[q], q)[0]) & {x[1] for x in rows}) for q, rows in got.items())
     assert hits >= 0.9 * 160
+
+
+def test_queries_from_outside_reach_every_cluster(spark):
+    """60 clusters far from one another, 40 vectors each: no edge leads from one to another."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 24)) * 100
+    v = (np.repeat(centres, 40, axis=0) + rng.standard_normal((2400, 24))).astype(np.float32)
+    q = (centres + rng.standard_normal((60, 24))).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = found(nearest_to(table, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<float>")))
+    hits = sum(len(set(by_all_distances(v, q[i], None)[0]) & {x[1] for x in rows}) for i, rows in got.items())
+    assert hits >= 0.9 * 600
