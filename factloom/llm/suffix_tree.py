@@ -25,6 +25,8 @@ WIDE, NARROW = 8, 6
 #: Tokens of the longest contexts; bytes of text that a task walks at once.
 DEPTH, BATCH = 3, 8_000_000
 ALPHA = 0.1
+#: Steps of a nat in which a follower's cost travels, a byte each.
+COST = 4
 
 
 class Batch(NamedTuple):
@@ -103,8 +105,9 @@ ASK_PAIRS = "bucket int, batch long, contexts binary, n_hot binary, n_follow bin
 
 
 def ask_pairs(number: int, batch: Batch, p: Pairs, n_hot: np.ndarray, parent: np.ndarray, hot_from: int, buckets: int) -> pd.DataFrame:
-    """Questions: contexts, occurrences of the hot ones (0 of others), followers, training counts, and -log P(follower | shorter context) in tenths of nats."""
-    cost = np.clip(np.round(-np.log(parent[p.first]) * 10), 0, 255).astype(np.uint8)
+    """Questions: contexts, occurrences of the hot ones (0 of others), followers, training counts, and -log P(follower | shorter context) in quarters of nats,
+    up to 63.75: no probability of a corpus under 10 ** 27 tokens is smaller."""
+    cost = np.clip(np.round(-np.log(parent[p.first]) * COST), 0, 255).astype(np.uint8)
     rows = []
     owner = np.repeat(np.arange(len(p.contexts)), p.n_follow)
     for b, who, mine in slices(batch, p, n_hot, hot_from, buckets):
@@ -138,7 +141,7 @@ def answer_pairs(asked: DataFrame) -> DataFrame:
         n_hot = np.zeros(len(names), np.int64)
         n_hot[name.reshape(-1)] = np.concatenate([unpack(v, 6) for v in rows["n_hot"]])
         n = np.where(n_hot > 0, n_hot, np.bincount(who, c, minlength=len(names)))[who]
-        cost = np.concatenate([read(v, np.uint8) for v in rows["cost"]])[first] / 10
+        cost = np.concatenate([read(v, np.uint8) for v in rows["cost"]])[first] / COST
         rest = np.log(np.maximum(n - 1 + PRIOR, 1e-9))
         gain = np.where(c >= 2, c * (np.log(np.maximum(c - 1, 1)) - rest + cost), np.where(c == 1, np.log(PRIOR) - rest, 0.0))
         gain = np.bincount(who, gain, minlength=len(names))

@@ -186,8 +186,9 @@ def normalised(ratio: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 def _inputs(comparison: np.ndarray) -> np.ndarray:
-    """The rising function of the comparison that the calibration sees, and a constant."""
-    return np.stack([np.log(0.01 + np.maximum(comparison, 0)), np.ones(len(comparison))], axis=1)
+    """What the calibration sees: a function of the comparison that rises everywhere (a logarithm above 0, a line below), and a constant."""
+    rising = np.log(0.01 + np.maximum(comparison, 0)) + np.minimum(comparison, 0)
+    return np.stack([rising, np.ones(len(comparison))], axis=1)
 
 
 def fit_toxicity(rows: pd.DataFrame, sizes: dict[int, int]) -> dict:
@@ -207,7 +208,7 @@ def fit_toxicity(rows: pd.DataFrame, sizes: dict[int, int]) -> dict:
     sampled = np.bincount(label, minlength=2)
     weight = np.array([sizes.get(c, 0) / max(1, sampled[c]) for c in (0, 1)])[label]
     scale = logistic(_inputs(value), label.astype(float), weight / weight.mean(), 1e-4)
-    return {"models": KneserNey(found, label), "scale": np.array([max(scale[0], 0.0), scale[1]])}
+    return {"models": KneserNey(found, label), "scale": np.array([max(scale[0], 1e-6), scale[1]])}
 
 
 def score_texts(model: dict | None, column: pa.Array) -> np.ndarray:

@@ -21,7 +21,7 @@ from factloom.llm.near_dedup import drop_near_copies, near_groups
 from factloom.llm.packing import hilbert_key, pack
 from factloom.llm.quality_crf import marginals, quality
 from factloom.llm.spans import span_hashes, text_bytes
-from factloom.llm.suffix_tree import DEPTH, GAIN, LEAST, PRIOR, suffix_tree_scores
+from factloom.llm.suffix_tree import COST, DEPTH, GAIN, LEAST, PRIOR, suffix_tree_scores
 from factloom.llm.token_counts import Counter, token_counts
 from factloom.llm.token_store import find, mph_build, mph_find, read_store, write_store
 from factloom.llm.toxicity import toxicity
@@ -282,7 +282,7 @@ def brute_tree(rows, depth):
 
     def stays(counts, shorter):
         m = sum(counts.values())
-        gain = sum(k * (math.log(k - 1) - math.log(m - 1 + PRIOR) + round(-math.log(shorter(w)) * 10) / 10) if k > 1 else math.log(PRIOR / (m - 1 + PRIOR)) for w, k in counts.items())
+        gain = sum(k * (math.log(k - 1) - math.log(m - 1 + PRIOR) + round(-math.log(shorter(w)) * COST) / COST) if k > 1 else math.log(PRIOR / (m - 1 + PRIOR)) for w, k in counts.items())
         return gain >= GAIN
 
     kept, asked = {}, set()
