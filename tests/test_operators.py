@@ -86,7 +86,7 @@ def test_insert_or_ignore_and_nulls(spark):
     assert rows(writers.upsert(target, new.withColumn("v", F.lit("z")), ["k"], [F.col("v")])) == [(1, "z"), (2, "z"), (3, "z")]
 
 
-def test_generations_switch_only_when_valid(spark, tmp_path):
+def test_generations_switch_only_when_valid(spark, tmp_path, monkeypatch):
     root = f"file://{tmp_path}"
     first = writers.write_generation({"t": spark.range(3)}, root)
     writers.promote(spark, root, first, None)
@@ -99,9 +99,12 @@ def test_generations_switch_only_when_valid(spark, tmp_path):
     assert writers.active(spark, root, "t").count() == 3
     writers.promote(spark, root, second, first, bad.where("n_bad = 0"))
     assert writers.active(spark, root, "t").count() == 5
-    (tmp_path / "claims" / f"{3:012d}").touch()  # another promotion that has read the same parent is ahead
+    (tmp_path / "promotions" / f"{3:012d}").write_text(first)  # another promotion that has read the same parent is ahead
+    monkeypatch.setattr(writers, "_latest", lambda *_: (second, 2))
     with pytest.raises(ValueError, match="another"):
-        writers.promote(spark, root, first, second)
+        writers.promote(spark, root, second, second)
+    monkeypatch.undo()
+    assert writers.latest(spark, root) == first  # what was there is not replaced
 
 
 def test_names(spark):
