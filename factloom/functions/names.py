@@ -104,7 +104,7 @@ def repository_identity(url: Column) -> Column:
     schemed, scp = text.contains("://"), r"^(?:[^@]+@)?([^:]+):(.+)$"
     host = F.when(schemed, F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#@]+)", 1)).otherwise(F.regexp_extract(text, scp, 1))
     path = F.when(schemed, F.regexp_extract(text, r"^[^:]+://[^/?#]*(/[^?#]*)", 1)).otherwise(F.regexp_extract(text, scp, 2))
-    plain = F.regexp_replace(F.array_join(F.filter(F.split(path, "/"), lambda x: x != ""), "/"), r"\.git$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.array_join(F.filter(F.split(path, "/"), lambda x: x != ""), "/"), r"\.git$", ""), "/$", "")
     return F.when((host != "") & (plain != ""), F.concat(F.lower(host), F.lit("/"), plain))
 
 
