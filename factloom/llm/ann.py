@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import warnings
 from itertools import count
 
 import numpy as np
@@ -248,8 +249,8 @@ def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, begin: DataFr
     other) names and from its own. Each step expands the nearest nodes of every query that it has not visited among its
     ``ef`` nearest, 32 or a quarter of ``ef``, by a join with the graph, until none is left. Then 64
     queries, those of least hash, are held against all nodes; while less than 93 % of their true
-    neighbours are found, the same search goes on half as wide again. One as wide as the table that
-    still misses them ends in an error.
+    neighbours are found, the search goes on from the nodes it knows, half as wide again. One as wide as
+    the table that still misses them ends with a warning.
     """
     spark = nodes.sparkSession
     queries = saved(queries.select("query", "qv", "own"), "queries")
@@ -293,9 +294,11 @@ def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, begin: DataFr
             if hits >= RECALL * wanted:
                 break
             if ef >= many:
-                raise RuntimeError(f"a search as wide as the table finds {hits} of {wanted} true neighbours")
+                warnings.warn(f"a search as wide as the table finds {hits} of {wanted} true neighbours", stacklevel=2)
+                break
             ef += -(-ef // 2)
-            state = kept(state.select("query", "other", "d", "visited"))
+            # what the narrower search let go is only found again from its known nodes
+            state = kept(state.select("query", "other", "d", F.lit(False).alias("visited")))
             continue
         met = front.join(links, "node").select("query", F.explode("others").alias("other")).distinct().join(state.select("query", "other"), ["query", "other"], "left_anti")
         old = state.select("query", "other", "d", (F.col("visited") | F.col("next")).alias("visited"))
