@@ -119,11 +119,14 @@ def resolved_names(occurrences: DataFrame, asked: DataFrame) -> DataFrame:
 
     Names agree whatever the case of their letters, a repo that is not null must be the same. One
     occurrence is ok; several are ambiguous, with the number of candidates and no node, unless a repo was named, whose
-    least node is taken; none is entity_not_found. ``occurrences`` are (node, name, repo).
+    least node is taken; none is entity_not_found. ``occurrences`` are (node, name, repo). They are summed up
+    by name, and by name and repo, before they meet, so a name costs a row however often it is there.
     """
-    found = occurrences.select(F.lower("name").alias("folded"), F.col("repo").alias("found_repo"), "node")
-    met = asked.withColumn("folded", F.lower("name")).join(found, "folded").where(F.col("repo").isNull() | (F.col("repo") == F.col("found_repo")))
-    counted = met.groupBy("ask").agg(F.count(F.lit(1)).alias("candidates"), F.min("node").alias("least"))
+    own = occurrences.groupBy(F.lower("name").alias("folded"), F.col("repo").alias("in_repo")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
+    anywhere = own.groupBy("folded").agg(F.lit(None).cast("string").alias("in_repo"), F.sum("n").alias("n"), F.min("least").alias("least"))
+    sums = own.where("in_repo is not null").unionByName(anywhere)
+    met = asked.select("ask", "repo", F.lower("name").alias("asked")).join(sums, (F.col("asked") == F.col("folded")) & F.col("repo").eqNullSafe(F.col("in_repo")))
+    counted = met.groupBy("ask").agg(F.sum("n").alias("candidates"), F.min("least").alias("least"))
     all_ = asked.select("ask", "repo").join(counted, "ask", "left")
     clear = (F.col("candidates") == 1) | F.col("repo").isNotNull()
     status = F.when(F.col("candidates").isNull(), "entity_not_found").when(clear, "ok").otherwise("ambiguous")
