@@ -1,4 +1,4 @@
-"""Event handlers resolved only within the scripts that a surface links, by sets of scripts as bitmaps."""
+"""Event handlers resolved only within the scripts that a surface links; sets of numbered scripts as bitmaps."""
 
 from __future__ import annotations
 
@@ -46,26 +46,22 @@ def handlers(events: DataFrame, links: DataFrame, symbols: DataFrame, failed: Da
     if it is one alone; else it is unresolved, because of a linked script that failed or for want of any. Nothing is
     looked up outside the surface's own links.
 
-    The scripts of a surface and those that declare a name are bitmaps over script numbers. Each distinct pair
-    of surface and name asks for the AND of the two, bucket by bucket, so the symbols of all linked
-    scripts are never listed, however common a name is.
+    A link is followed from its cheaper end: by the names that its script declares or by those that its surface
+    asks for, whichever are fewer. So neither all symbols of a large common script are listed for each
+    surface, nor all questions of a busy surface for each of its scripts.
     """
-    numbers = written(dense_numbers(links.select("script").unionByName(symbols.select("script")), "script"), "numbers")
     alive = symbols.where("parent is null").join(failed.select("script").distinct(), "script", "left_anti")
-    declared = alive.groupBy("script", "name").agg(F.count(F.lit(1)).alias("n")).join(numbers, "script")
-    # a script that declares a name more than once is in the second copy too
-    names = bitmaps(declared.select("name", "number", F.explode(F.when(F.col("n") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")), ["name", "copy"])
-    linked = written(links.select("surface", "script", "scope").distinct())
-    surfaces = bitmaps(linked.join(numbers, "script"), ["surface", "scope"])
-    asked = events.where(F.col("name").rlike(CALLABLE)).select("surface", "name").distinct()
-    met = asked.join(surfaces, "surface").withColumnRenamed("bits", "left").join(names, ["name", "bucket"])
-    key = ["surface", "name", "scope", "bucket", "copy"]
-    both = met.select(*key, F.explode(F.array("left", "bits")).alias("bits")).groupBy(*key).agg(F.bitmap_and_agg("bits").alias("bits")).withColumn("n", F.bitmap_count("bits")).where("n > 0")
-    one = F.max(F.when((F.col("copy") == 1) & (F.col("n") == 1), only_number(F.col("bucket"), F.col("bits"))))
-    counted = both.groupBy("surface", "name").agg(
-        *[F.coalesce(F.sum(F.when(F.col("scope") == s, F.col("n"))), F.lit(0)).alias(s) for s in ("active", "conditional")], one.alias("number"))
+    declared = written(alive.groupBy("script", "name").agg(F.count(F.lit(1)).alias("n")), "declared")
+    asked = written(events.where(F.col("name").rlike(CALLABLE)).select("surface", "name").distinct(), "asked")
+    asks, names = asked.groupBy("surface").agg(F.count(F.lit(1)).alias("asks")), declared.groupBy("script").agg(F.count(F.lit(1)).alias("names"))
+    linked = written(links.select("surface", "script", "scope").distinct().join(asks, "surface", "left").join(names, "script", "left"), "linked")
+    by_script = linked.where("names <= asks").join(declared, "script").join(asked, ["surface", "name"], "left_semi")
+    by_surface = linked.where("names > asks").join(asked, "surface").join(declared, ["script", "name"])
+    met = by_script.select("surface", "name", "scope", "script", "n").unionByName(by_surface.select("surface", "name", "scope", "script", "n"))
+    counted = met.groupBy("surface", "name").agg(
+        *[F.coalesce(F.sum(F.when(F.col("scope") == s, F.col("n"))), F.lit(0)).alias(s) for s in ("active", "conditional")], F.max("script").alias("found"))
     blocked = linked.join(failed.select("script").distinct(), "script", "left_semi").select("surface").distinct().withColumn("blocked", F.lit(True))
-    told = events.join(counted, ["surface", "name"], "left").join(blocked, "surface", "left").join(numbers.withColumnRenamed("script", "found"), "number", "left")
+    told = events.join(counted, ["surface", "name"], "left").join(blocked, "surface", "left")
     plain, active, conditional = F.coalesce(F.col("name").rlike(CALLABLE), F.lit(False)), F.coalesce("active", F.lit(0)), F.coalesce("conditional", F.lit(0))
     status = F.when(~plain, "unsupported").when((active == 1) & (conditional == 0), "resolved").when(active > 0, "ambiguous").when(conditional > 0, "conditional").otherwise("unresolved")
     reason = (

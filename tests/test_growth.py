@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import relations
+from factloom.operators import handlers, relations
 
 
 @pytest.fixture
@@ -46,3 +46,16 @@ def test_a_common_name_is_one_row(spark, measured):
     got, most = measured(lambda: relations.resolved_names(occurrences, asked))
     assert {(r.ask % 2, r.status, r.node, r.candidates) for r in got} == {(0, "ambiguous", None, 2_000), (1, "ok", 3, 500)} and len(got) == 2_000
     assert 2_000 <= most["join"] <= 4_000
+
+
+def test_links_are_followed_from_their_cheaper_end(spark, measured):
+    surfaces = spark.range(300).select(F.col("id").alias("surface"))
+    library = surfaces.select("surface", F.lit("lib").alias("script"), F.lit("active").alias("scope"))
+    busy = spark.range(300).select(F.lit(0).cast("long").alias("surface"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("script"), F.lit("conditional").alias("scope"))
+    symbols = spark.range(300).select(F.lit("lib").alias("script"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.lit(None).cast("string").alias("parent"))
+    symbols = symbols.unionByName(busy.select("script", F.lit("g").alias("name"), F.lit(None).cast("string").alias("parent")))
+    events = surfaces.select(F.col("surface").alias("event"), "surface", F.lit("f7").alias("name"))
+    events = events.unionByName(spark.range(300).select((F.col("id") + 1_000).alias("event"), F.lit(0).cast("long").alias("surface"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("name")))
+    got, most = measured(lambda: handlers.handlers(events, library.unionByName(busy), symbols, symbols.select("script").limit(0)))
+    assert len(got) == 600 and {(r.status, r.script) for r in got} == {("resolved", "lib")}
+    assert most["join"] <= 1_200 and most["moved"] < 1_000_000
