@@ -1,9 +1,12 @@
 """What a step costs, as rows that its joins make and bytes that it moves, grows with its input."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import handlers, relations
+from factloom.operators import access, closure, graph, handlers, relations
+from factloom.sources import generations
 
 
 @pytest.fixture
@@ -59,3 +62,22 @@ def test_links_are_followed_from_their_cheaper_end(spark, measured):
     got, most = measured(lambda: handlers.handlers(events, library.unionByName(busy), symbols, symbols.select("script").limit(0)))
     assert len(got) == 600 and {(r.status, r.script) for r in got} == {("resolved", "lib")}
     assert most["join"] <= 1_200 and most["moved"] < 1_000_000
+
+
+def _star(spark, n=3_000):
+    """Edges between a few hubs and many leaves, so that a small frontier meets a large graph."""
+    return spark.range(n).select(F.concat(F.lit("h"), (F.col("id") % 7).cast("string")).alias("src"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("dst"), F.lit("USES").alias("relation"), (F.col("id") % 100).cast("double").alias("weight"))
+
+
+def test_impact_ranks_the_edges_of_its_frontier_alone(spark, measured):
+    edges = graph.written(_star(spark, 20_000))
+    got, most = measured(lambda: graph.impact(edges, spark.createDataFrame([("l5",)], "node string"), 2, 3, least=1.0))
+    assert [(r.node, r.depth) for r in got if r.depth < 2] == [("l5", 0), ("h5", 1)] and len([r for r in got if r.depth == 2]) == 3
+    assert most["moved"] < 500_000
+
+
+def test_no_weight_counts_as_none(spark):
+    edges = spark.createDataFrame([("a", "b", "r", -1.0), ("a", "c", "r", None), ("a", "d", "r", 2.0)], "src string, dst string, relation string, weight double")
+    seeds = spark.createDataFrame([("a",)], "node string")
+    reached = lambda **k: {r.node for r in graph.impact(edges, seeds, 1, **k).collect()} - {"a"}
+    assert reached(cap=2) == {"c", "d"} and reached(cap=1) == {"d"} and reached(cap=2, least=1.0) == {"d"} and reached(cap=2, least=-1.0) == {"b", "d"}
