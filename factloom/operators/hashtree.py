@@ -63,7 +63,7 @@ def tree_diff(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]
     """(key, change): added, deleted and modified rows of unique keys, compared only in the ranges whose digests differ."""
     a, b = (hash_tree(t, key, columns, levels).where(F.col("level") == levels).select("range", "digest") for t in (old, new))
     ranges = a.join(b.withColumnRenamed("digest", "other"), "range", "full").where(~F.col("digest").eqNullSafe(F.col("other"))).select("range")
-    whole = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    whole = F.unhex(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256))
     x, y = (with_range(t, key, levels).join(ranges, "range", "left_semi").select(*key, whole.alias(n)) for t, n in ((old, "_x"), (new, "_y")))
     kind = F.when(F.col("_x").isNull(), "added").when(F.col("_y").isNull(), "deleted").otherwise("modified")
     return x.join(y, key, "full").where(~F.col("_x").eqNullSafe(F.col("_y"))).select(*key, kind.alias("change"))

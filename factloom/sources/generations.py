@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.scratch import written
 from factloom.sources.writers import latest, promote
 
 
@@ -85,6 +86,7 @@ class Table:
         """
         parent = latest(self.spark, self.root)
         old_manifest = self.manifest(parent)
+        changes = written(changes, "changes")  # looked at many times
         columns = [c for c in changes.columns if c not in ("change", "old_key", "new_key", "old_hash", "new_hash")]
         scope = F.lit(True) if in_scope is None else in_scope
         keyed = lambda c: changes.where(F.col(c).isNotNull()).withColumn("key", F.col(c)).where(scope)

@@ -81,3 +81,18 @@ def test_no_weight_counts_as_none(spark):
     seeds = spark.createDataFrame([("a",)], "node string")
     reached = lambda **k: {r.node for r in graph.impact(edges, seeds, 1, **k).collect()} - {"a"}
     assert reached(cap=2) == {"c", "d"} and reached(cap=1) == {"d"} and reached(cap=2, least=1.0) == {"d"} and reached(cap=2, least=-1.0) == {"b", "d"}
+
+
+def test_changes_are_made_once(spark, tmp_path):
+    table = generations.Table(spark, f"file://{tmp_path}", "path", 8)
+    table.create(spark.range(50).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("path"), F.col("id").alias("size")))
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for row in rows:
+            made.add(len(row))
+            yield row
+
+    changes = spark.range(20).select(F.lit("modified").alias("change"), *[F.concat(F.lit("p"), F.col("id").cast("string")).alias(c) for c in ("old_key", "new_key")], *[F.lit(None).cast("string").alias(c) for c in ("old_hash", "new_hash")], (F.col("id") + 100).alias("size"))
+    table.apply(changes.mapInPandas(seen, changes.schema))
+    assert made.value == 20 and table.read().where("size >= 100").count() == 20
