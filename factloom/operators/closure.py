@@ -96,7 +96,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Nodes without a way in or out are trimmed first. Then the least node that reaches each is spread
     along the edges, changes only; whoever leads back to it among those of its colour is of its part.
-    What is left goes on, so rounds are few and every step is a join of rows that changed.
+    What is left goes on, so rounds are few and every step is a join of rows that changed. Rounds grow with the
+    depth of the graph, so their joins are shuffled ones: what each would broadcast goes through the driver.
     """
     spark = nodes.sparkSession
     edges = written(edges.where("src != dst").select("src", "dst").distinct())
@@ -104,36 +105,36 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found, scratch = [], []
     while True:
         while True:
-            kept = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
-            kept = written(kept.join(active, "node", "left_semi"))
-            alone = written(active.join(kept, "node", "left_anti"))
+            kept = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct().hint("merge"), "node", "left_semi")
+            kept = written(kept.join(active.hint("merge"), "node", "left_semi"))
+            alone = written(active.join(kept.hint("merge"), "node", "left_anti"))
             active = kept
             if alone.isEmpty():
                 break
             found.append(alone.select("node", F.col("node").alias("component")))
-            edges = written(edges.join(active.withColumnRenamed("node", "src"), "src", "left_semi").join(active.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+            edges = written(edges.join(active.withColumnRenamed("node", "src").hint("merge"), "src", "left_semi").join(active.withColumnRenamed("node", "dst").hint("merge"), "dst", "left_semi"))
         if active.isEmpty():
             break
         colours = written(active.select("node", F.col("node").alias("colour")))
         changed = colours
         while not changed.isEmpty():
-            offers = changed.withColumnRenamed("node", "src").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
-            changed = written(offers.join(colours, "node").where("offer < colour").select("node", F.col("offer").alias("colour")), paths=scratch)
-            colours = written(colours.join(changed.withColumnRenamed("colour", "less"), "node", "left").select("node", F.coalesce("less", "colour").alias("colour")), paths=scratch)
-        inside = edges.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst")
+            offers = changed.withColumnRenamed("node", "src").join(edges.hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+            changed = written(offers.join(colours.hint("merge"), "node").where("offer < colour").select("node", F.col("offer").alias("colour")), paths=scratch)
+            colours = written(colours.join(changed.withColumnRenamed("colour", "less").hint("merge"), "node", "left").select("node", F.coalesce("less", "colour").alias("colour")), paths=scratch)
+        inside = edges.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c1")).hint("merge"), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("c2")).hint("merge"), "dst")
         inside = written(inside.where("c1 = c2").select("src", "dst"), paths=scratch)
         frontier = colours.where("node = colour")
         part = [written(frontier)]
         while True:
-            back = inside.join(frontier.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
-            frontier = written(back.join(reduce(DataFrame.unionByName, part).select("node"), "node", "left_anti"))
+            back = inside.join(frontier.select(F.col("node").alias("dst"), "colour").hint("merge"), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            frontier = written(back.join(reduce(DataFrame.unionByName, part).select("node").hint("merge"), "node", "left_anti"))
             if frontier.isEmpty():
                 break
             part.append(frontier)
         whole = reduce(DataFrame.unionByName, part)
         found.append(whole.select("node", F.col("colour").alias("component")))
-        active = written(active.join(whole, "node", "left_anti"))
-        edges = written(edges.join(active.withColumnRenamed("node", "src"), "src", "left_semi").join(active.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        active = written(active.join(whole.hint("merge"), "node", "left_anti"))
+        edges = written(edges.join(active.withColumnRenamed("node", "src").hint("merge"), "src", "left_semi").join(active.withColumnRenamed("node", "dst").hint("merge"), "dst", "left_semi"))
         removed(spark, scratch)
     return reduce(DataFrame.unionByName, found) if found else nodes.select("node", F.col("node").alias("component")).limit(0)
 

@@ -96,3 +96,11 @@ def test_changes_are_made_once(spark, tmp_path):
     changes = spark.range(20).select(F.lit("modified").alias("change"), *[F.concat(F.lit("p"), F.col("id").cast("string")).alias(c) for c in ("old_key", "new_key")], *[F.lit(None).cast("string").alias(c) for c in ("old_hash", "new_hash")], (F.col("id") + 100).alias("size"))
     table.apply(changes.mapInPandas(seen, changes.schema))
     assert made.value == 20 and table.read().where("size >= 100").count() == 20
+
+
+def test_rounds_of_cycles_broadcast_nothing(spark, measured):
+    chain = spark.range(1, 40).select(F.col("id").alias("src"), F.floor(F.col("id") / 2).alias("dst")).unionByName(spark.createDataFrame([(3, 7), (1, 39)], "src long, dst long"))
+    got, most = measured(lambda: closure.components(spark.range(40).withColumnRenamed("id", "node"), chain))
+    parts = {r.node: r.component for r in got}
+    assert parts[1] == parts[39] == parts[19] == parts[9] == parts[4] == parts[2] == 1 and parts[3] == parts[7] == 3 and parts[0] == 0 and parts[5] == 5
+    assert most["broadcast"] == 0
