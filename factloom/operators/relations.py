@@ -75,7 +75,7 @@ def paths(facts: DataFrame, seeds: DataFrame, depth: int, axes=None, best: int =
         now = met.select(
             "seed", F.col("target").alias("node"), F.array_append("nodes", F.col("target")).alias("nodes"), F.array_append("facts", F.col("fact_id")).alias("facts"),
             F.array_append("axes", F.col("axis")).alias("axes"), (F.col("all_strong") & F.col("strong")).alias("all_strong"), F.least("confidence", "c").alias("confidence"))
-        now = written(now)
+        now = written(now) if level < depth else now  # the last level is read once
         levels.append(now.withColumn("depth", F.lit(level)))
     order = Window.partitionBy("seed", "node").orderBy("depth", F.desc("confidence"), "facts")
     ranked = reduce(DataFrame.unionByName, levels).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)

@@ -98,6 +98,14 @@ def test_changes_are_made_once(spark, tmp_path):
     assert made.value == 20 and table.read().where("size >= 100").count() == 20
 
 
+def test_a_last_level_is_not_written(spark):
+    facts = spark.createDataFrame([(1, "a", "b", "A", "VERIFIED", 1.0), (2, "b", "c", "A", "VERIFIED", 1.0)], "fact_id long, source string, target string, axis string, assertion_status string, confidence double")
+    place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = len(os.listdir(place))
+    found = relations.paths(facts, spark.createDataFrame([("a",)], "node string"), 2)
+    assert len(os.listdir(place)) - before == 1 and sorted(r.target for r in found.collect()) == ["b", "c"]
+
+
 def test_rounds_of_cycles_broadcast_nothing(spark, measured):
     chain = spark.range(1, 40).select(F.col("id").alias("src"), F.floor(F.col("id") / 2).alias("dst")).unionByName(spark.createDataFrame([(3, 7), (1, 39)], "src long, dst long"))
     got, most = measured(lambda: closure.components(spark.range(40).withColumnRenamed("id", "node"), chain))
