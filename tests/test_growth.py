@@ -112,3 +112,15 @@ def test_rounds_of_cycles_broadcast_nothing(spark, measured):
     parts = {r.node: r.component for r in got}
     assert parts[1] == parts[39] == parts[19] == parts[9] == parts[4] == parts[2] == 1 and parts[3] == parts[7] == 3 and parts[0] == 0 and parts[5] == 5
     assert most["broadcast"] == 0
+
+
+def test_links_are_sorted_once(spark, measured):
+    told = access.Evidence()
+    rows = spark.range(2_000)
+    told.anchor(rows, F.col("id"), file=F.col("id") % 500, name=F.col("id"))
+    told.target(rows, "order", F.col("id"), F.col("id"), name=F.col("id"), file=F.col("id") % 500)
+    plan = told.links()
+    got = {(r.entity, r.record): (r.link_type, r.evidence, r.reasons) for r in plan.collect()}
+    assert len(got) == 8_000 and got[3, "3"] == ("file", "3", ["file", "name"]) and got[503, "3"] == ("file", "3", ["file"])
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ObjectHashAggregate" not in text
