@@ -98,6 +98,21 @@ def test_changes_are_made_once(spark, tmp_path):
     assert made.value == 20 and table.read().where("size >= 100").count() == 20
 
 
+def test_rounds_of_labels_make_no_edges(spark):
+    edges = _star(spark)
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for row in rows:
+            made.add(len(row))
+            yield row
+
+    got = graph.structural_labels(nodes.withColumn("label", F.col("node")), edges.mapInPandas(seen, edges.schema)).collect()
+    assert len({r.label for r in got}) == len(got) == 3_007
+    assert made.value == 2 * 3_000  # once for each direction
+
+
 def test_a_last_level_is_not_written(spark):
     facts = spark.createDataFrame([(1, "a", "b", "A", "VERIFIED", 1.0), (2, "b", "c", "A", "VERIFIED", 1.0)], "fact_id long, source string, target string, axis string, assertion_status string, confidence double")
     place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
