@@ -108,8 +108,8 @@ def test_rounds_of_labels_make_no_edges(spark):
             made.add(len(row))
             yield row
 
-    got = graph.structural_labels(nodes.withColumn("label", F.col("node")), edges.mapInPandas(seen, edges.schema)).collect()
-    assert len({r.label for r in got}) == len(got) == 3_007
+    got = graph.structural_labels(nodes.withColumn("label", F.lit("x")), edges.mapInPandas(seen, edges.schema)).collect()
+    assert len({r.label for r in got}) == 4 and len(got) == 3_007
     assert made.value == 2 * 3_000  # once for each direction
 
 
