@@ -311,10 +311,30 @@ def verified(sets: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     return met.groupBy("centre", "part").applyInPandas(compare, "a long, b long")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the pairs (a, b) that join what no earlier pair has joined: all others change no class."""
+    over: dict[int, int] = {}
+    kept = []
+
+    def top(x: int) -> int:
+        while over.setdefault(x, x) != x:
+            over[x] = over[over[x]]
+            x = over[x]
+        return x
+
+    for place, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            over[x] = y
+            kept.append(place)
+    return np.array(kept, np.int64)
+
+
 def tiled(sets: DataFrame, members: DataFrame, centres: DataFrame, similar: float) -> DataFrame:
     """Links (a, b) of at least ``similar`` between ``centres`` and ``members`` (band, text, salt, root) of one band and different roots.
 
-    A group holds about 64 of either, so a set travels once for about 64 comparisons.
+    A group holds about 64 of either, so a set travels once for about 64 comparisons. Of the links found in a
+    group as many come out as its roots need to be of one class, fewer than it has roots.
     """
     n = lambda name: F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias(name)
     parts = _every_salt(members.groupBy("band").agg(n("rows")).join(centres.groupBy("band").agg(n("columns")), "band"))
@@ -344,6 +364,8 @@ def tiled(sets: DataFrame, members: DataFrame, centres: DataFrame, similar: floa
         total = np.array([x.sum() for x in w])
         near = (both >= (similar - 1e-9) * (total[others, None] + total[heads] - both)) & (root[others, None] != root[heads])
         i, j = np.nonzero(near)
+        first = forest(root[others[i]], root[heads[j]])
+        i, j = i[first], j[first]
         return pd.DataFrame({"a": text[heads[j]], "b": text[others[i]]})
 
     return met.groupBy("band", "row", "column").applyInPandas(compare, "a long, b long")

@@ -73,3 +73,14 @@ def test_run_of_the_pipeline(spark, folder, case):
         assert not rows
     elif case in ("repeated", "clashing"):
         assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in base.select("doc_id").collect()}
+
+
+def test_a_tile_sends_on_what_its_classes_need():
+    import numpy as np
+
+    from factloom.llm.near_dedup import forest
+
+    a, b = (x.reshape(-1) for x in np.meshgrid(np.arange(64), np.arange(100, 164)))
+    kept = forest(a, b)
+    assert len(kept) == 127 and set(a[kept]) == set(range(64)) and set(b[kept]) == set(range(100, 164))
+    assert forest(np.array([1, 1, 2, 5]), np.array([2, 2, 1, 6])).tolist() == [0, 3] and len(forest(a[:0], b[:0])) == 0
