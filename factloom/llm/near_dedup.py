@@ -53,6 +53,17 @@ def shingles(row: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return keys, both[head] & 0xFFFFFFFF, both[head] >> 32, np.diff(np.append(head, len(both)))
 
 
+def asked_pairs(keys: np.ndarray, code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (place of the shingle, sketch of its text) in one number each, and where each place begins in them.
+
+    By a sort: numpy's unique without an inverse hashes, at many times the cost.
+    """
+    pair = np.sort(code << SKETCH | sketches(keys, code, doc))
+    pair = pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]]
+    place = pair >> SKETCH
+    return pair, np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+
+
 def sketches(keys: np.ndarray, code: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Of the text of each shingle, 32 bits of its least shingle hash (one min-hash)."""
     first = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
@@ -145,7 +156,7 @@ def _weighed(row: pd.Series, got: pd.DataFrame, n_texts: int) -> tuple[np.ndarra
     answers = got[got["uid"].isna()].sort_values("bucket")["counts"]
     df = np.concatenate([unpack(x, COUNT) for x in answers]).astype(np.int64) if len(answers) else np.zeros(0, np.int64)
     # a shingle was asked about once for each of its sketches
-    df = df[np.unique(np.unique(code << SKETCH | sketches(keys, code, doc)) >> SKETCH, return_index=True)[1]]
+    df = df[asked_pairs(keys, code, doc)[1]]
     return keys[code], doc, weigh(times, df[code], n_texts)
 
 
@@ -199,19 +210,17 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         out = [pd.DataFrame(columns=["bucket", "batch", "keys", "counts"])]
         for _, row in rows.iterrows():
             keys, code, doc, _ = shingles(_only(row, mine["uid"]))
-            pair = np.unique(code << SKETCH | sketches(keys, code, doc))
+            pair, _ = asked_pairs(keys, code, doc)
             out.append(ask_counts(row["batch"], keys[pair >> SKETCH], pair & (1 << SKETCH) - 1, buckets))
         return pd.concat(out)
 
     questions = batches.groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(ask, ASK)
-    df = saved(answer_kinds(questions), "shingle_counts", paths)
-
-    def with_texts(wanted: DataFrame) -> DataFrame:
-        """Answers and, in rows of their own, the texts that are wanted."""
-        return df.withColumn("uid", F.lit(None).cast("long")).unionByName(wanted, allowMissingColumns=True)
+    counted: list[str] = []
+    df = saved(answer_kinds(questions), "shingle_counts", counted)
+    answers = df.withColumn("uid", F.lit(None).cast("long")).unionByName(asked, allowMissingColumns=True)  # texts in rows of their own
 
     def sample(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame(columns=["text", "bands"])]
+        out = [pd.DataFrame(columns=["text", "bands", "weights"])]
         for _, row in rows.iterrows():
             s, doc, w = _weighed(row, got, n_texts)
             mine = got["uid"].dropna().astype(np.int64).to_numpy() - row["uid"]
@@ -220,16 +229,19 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             for r in range(ROWS):
                 key = mixed64(key * U(0x9E3779B97F4A7C15) + bands[:, :, r] + U(r + 1))
             key = mixed64(key ^ mixed64(np.arange(BANDS).astype(U)))
-            out.append(pd.DataFrame({"text": mine + row["uid"], "bands": list(key.view(np.int64))}))
+            a, b = np.searchsorted(doc, mine), np.searchsorted(doc, mine, "right")
+            out.append(pd.DataFrame({"text": mine + row["uid"], "bands": list(key.view(np.int64)), "weights": [w[i:j].tobytes() for i, j in zip(a, b, strict=True)]}))
         return pd.concat(out)
 
-    signed = batches.groupBy("batch").cogroup(with_texts(asked).groupBy("batch")).applyInPandas(sample, "text long, bands array<long>")
-    banded = _dealt(saved(signed, "signatures", paths).select("text", F.explode("bands").alias("band")))
+    signed = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(sample, "text long, bands array<long>, weights binary")
+    signed = saved(signed, "signatures", paths)
+    removed(spark, counted)
+    banded = _dealt(signed.select("text", F.explode("bands").alias("band")))
     parts = banded.groupBy("band", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("centre"))
     heads = parts.groupBy("band").agg(F.sum("n").alias("n"), F.min("centre").alias("centre"), F.collect_set("salt").alias("salts")).where("n > 1")
     shared = saved(banded.join(heads.select("band", "centre", F.explode("salts").alias("salt")), ["band", "salt"]), "banded", paths)
-    members = shared.select("text").distinct().join(texts.select("text", "batch"), "text")
-    sets = saved(weighted_sets(batches, with_texts(asked), members, n_texts), "sets", paths)
+    members = shared.select("text").distinct().join(texts.select("text", "batch"), "text").join(signed.select("text", "weights"), "text")
+    sets = saved(weighted_sets(batches, members), "sets", paths)
     pairs = shared.where("text != centre").select("centre", "text").distinct()
     links = saved(verified(sets, saved(pairs, "pairs", paths), similar), "verified", paths)
     apart, turn = shared.where("text != centre").select("band", "text", "salt"), 0
@@ -261,24 +273,25 @@ def near_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return every.join(best, "class").select("doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("uid") == F.col("best.uid")).alias("kept"), "uid")
 
 
-def weighted_sets(batches: DataFrame, answers: DataFrame, wanted: DataFrame, n_texts: int) -> DataFrame:
-    """(uid, keys, weights): the weighted shingles of the texts ``wanted`` (text, batch), six bytes a hash."""
-    asked = answers.withColumn("wanted", F.lit(None).cast("long")).unionByName(wanted.select("batch", F.col("text").alias("wanted")), allowMissingColumns=True)
+def weighted_sets(batches: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, keys, weights): the shingles of the texts ``wanted`` (text, batch, weights), six bytes a hash, with their weights.
+
+    The weights are those that the signatures were drawn from, in the order of each text's shingles.
+    """
 
-    def send(rows: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    def send(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
-        ask, got = got["wanted"].dropna().astype(np.int64), got[got["wanted"].isna()]
         for _, row in rows.iterrows():
-            if not len(ask):
+            if not len(asked):
                 continue
-            s, doc, w = _weighed(row, got, n_texts)
-            edges = np.searchsorted(doc, np.arange(len(row["doc_ids"]) + 1))
-            for uid in ask:
-                a, b = edges[uid - row["uid"]], edges[uid - row["uid"] + 1]
-                out.append((uid, pack(s[a:b] >> U(16), 6), w[a:b].tobytes()))
+            keys, code, doc, _ = shingles(_only(row, asked["text"]))
+            s = keys[code]
+            for uid, w in zip(asked["text"], asked["weights"], strict=True):
+                a, b = np.searchsorted(doc, [uid - row["uid"], uid - row["uid"] + 1])
+                out.append((uid, pack(s[a:b] >> U(16), 6), w))
         return pd.DataFrame(out, columns=["uid", "keys", "weights"])
 
-    return batches.groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(send, "uid long, keys binary, weights binary")
+    return batches.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInPandas(send, "uid long, keys binary, weights binary")
 
 
 def verified(sets: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:

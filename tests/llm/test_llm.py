@@ -387,6 +387,42 @@ def test_near_groups_edges(docs, empty):
     assert drop_near_copies(docs).columns == docs.columns and near_groups(empty).count() == 0
 
 
+def test_shingles_are_counted_and_weighed_once(spark, docs, monkeypatch):
+    """The sets that are compared take the weights of the signatures, not the corpus counts again."""
+    from factloom.llm import near_dedup
+
+    read, tables, saved = {}, {}, near_dedup.saved
+
+    def spied(df, name, *rest):
+        read[name] = df.inputFiles()
+        tables[name] = saved(df, name, *rest)
+        if name in ("signatures", "sets"):
+            tables[name] = tables[name].cache()
+            tables[name].count()
+        return tables[name]
+
+    monkeypatch.setattr(near_dedup, "saved", spied)
+    near_groups(docs).count()
+    assert any("shingle_counts" in f for f in read["signatures"]) and not any("shingle_counts" in f for f in read["sets"])
+    weights = {r.text: r.weights for r in tables["signatures"].collect()}
+    sets = tables["sets"].collect()
+    assert sets and all(weights[r.uid] == r.weights and len(r.keys) == 3 * len(r.weights) > 0 for r in sets)
+
+
+def test_asked_pairs_are_distinct_and_sorted():
+    from factloom.llm import near_dedup
+
+    rng = np.random.default_rng(8)
+    keys = np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64))
+    both = np.unique(rng.integers(0, 40, 600) << 32 | rng.integers(0, 50, 600))
+    code, doc = both & 0xFFFFFFFF, both >> 32
+    pair, first = near_dedup.asked_pairs(keys, code, doc)
+    expected = np.unique(code << 32 | near_dedup.sketches(keys, code, doc))
+    assert pair.tolist() == expected.tolist() and first.tolist() == np.unique(expected >> 32, return_index=True)[1].tolist()
+    none = np.zeros(0, np.int64)
+    assert [x.tolist() for x in near_dedup.asked_pairs(keys[:0], none, none)] == [[], []]
+
+
 def test_near_groups_beside_a_large_class(spark, monkeypatch):
     """Pairs and chains in one bucket with a large class of distinct near copies, and more classes than rounds once were."""
     from factloom.llm import near_dedup
