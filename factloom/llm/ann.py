@@ -189,7 +189,7 @@ def swept(spark) -> None:
 
 
 def _state(rows: pd.DataFrame, ef: int, width: int) -> pd.DataFrame:
-    """Known nodes of each query, the ``ef`` nearest; the ``width`` nearest unvisited are next."""
+    """Known nodes of each query, the ``ef`` nearest; the ``width`` nearest unvisited are next. A query that has such is open."""
     order = np.lexsort((~rows["visited"].to_numpy(), rows["other"].to_numpy(), rows["d"].to_numpy(), rows["query"].to_numpy()))
     rows = rows.iloc[order]
     q, o = rows["query"].to_numpy(), rows["other"].to_numpy()
@@ -199,8 +199,8 @@ def _state(rows: pd.DataFrame, ef: int, width: int) -> pd.DataFrame:
     rows = rows[np.arange(len(q)) - np.searchsorted(q, q) < ef]
     q, open_ = rows["query"].to_numpy(), ~rows["visited"].to_numpy()
     seen = np.cumsum(open_)
-    before = np.append(0, seen)[np.searchsorted(q, q)]
-    return rows.assign(next=open_ & (seen - before <= width))[["query", "other", "d", "visited", "next"]]
+    before, end = np.append(0, seen)[np.searchsorted(q, q)], np.append(0, seen)[np.searchsorted(q, q, "right")]
+    return rows.assign(next=open_ & (seen - before <= width), open=end > before)[["query", "other", "d", "visited", "next", "open"]]
 
 
 def neighbours(graph: DataFrame, most: int = 40) -> DataFrame:
@@ -247,15 +247,15 @@ def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, begin: DataFr
 
     Every search starts from the same 32 nodes, those of least hash, from the nodes that ``begin`` (query,
     other) names and from its own. Each step expands the nearest nodes of every query that it has not visited among its
-    ``ef`` nearest, 32 or a quarter of ``ef``, by a join with the graph, until none is left. Then 64
-    queries, those of least hash, are held against all nodes; while less than 93 % of their true
-    neighbours are found, the search goes on from the nodes it knows, half as wide again. One as wide as
-    the table that still misses them ends with a warning.
+    ``ef`` nearest, 32 or half of ``ef``, by a join with the graph, until none is left; a query that has
+    none left goes through no further step. 64 queries, those of least hash, are searched first and held
+    against all nodes; while less than 93 % of their true neighbours are found, they are searched anew, half as
+    wide again. All others are searched once, as wide as that. A search as wide as the table that still
+    misses its target gives a warning.
     """
     spark = nodes.sparkSession
     queries = saved(queries.select("query", "qv", "own"), "queries")
     n, many = queries.count(), nodes.count()
-    chunk = F.pmod(F.xxhash64("query"), F.lit(max(1, n // 16)))
     sample = saved(queries.orderBy(F.xxhash64("query"), "query").limit(SAMPLE), "sample")
     true = saved(true_nearest(nodes, sample, kind, k), "true")
     wanted = true.count()
@@ -273,38 +273,46 @@ def search(nodes: DataFrame, links: DataFrame, queries: DataFrame, begin: DataFr
         """Ids travel to the vectors, which stay where they are."""
         return met.withColumnRenamed("other", "node").join(nodes, "node").withColumnRenamed("node", "other").join(asking, "query").select("query", "other", "qv", "v").mapInArrow(measure, "query long, other long, d double")
 
-    schema = "query long, other long, d double, visited boolean, next boolean"
-    paths: list[str] = []
-
-    def kept(rows: DataFrame) -> DataFrame:
-        width = max(32, ef // 4)
-        written: list[str] = []
-        out = saved(rows.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(lambda g: _state(g, ef, width), schema), "state", written)
+    schema = "query long, other long, d double, visited boolean, next boolean, open boolean"
+    own = queries.where("own is not null").select("query", F.col("own").alias("other"))
+    first = queries.select("query").join(F.broadcast(gates.withColumnRenamed("node", "other"))).unionByName(own).unionByName(begin)  # 32 rows
+    first = saved(measured(first.distinct()).withColumn("visited", F.lit(False)), "first")
+
+    def descended(state: DataFrame, asked: int, ef: int) -> DataFrame:
+        """What the searches that start from ``state``, of ``asked`` queries, end with."""
+        paths: list[str] = []
+        chunk = F.pmod(F.xxhash64("query"), F.lit(max(1, asked // 16)))
+        width = max(32, ef // 2)
+
+        def kept(rows: DataFrame) -> DataFrame:
+            return saved(rows.withColumn("chunk", chunk).groupBy("chunk").applyInPandas(lambda g: _state(g, ef, width), schema), "state", paths)
+
+        state = kept(state)
+        while True:
+            state = state.where("open")
+            front = state.where("next").select("query", F.col("other").alias("node"))
+            if front.isEmpty():
+                break
+            met = front.join(links, "node").select("query", F.explode("others").alias("other")).distinct().join(state.select("query", "other"), ["query", "other"], "left_anti")
+            old = state.select("query", "other", "d", (F.col("visited") | F.col("next")).alias("visited"))
+            state = kept(old.unionByName(measured(met).withColumn("visited", F.lit(False))))
+            swept(spark)
+        # a query's rows are written without being open once, at its end
+        out = saved(spark.read.schema(schema).parquet(*paths).where("not open").select("query", "other", "d"), "found")
         removed(spark, paths)
-        paths.extend(written)
         return out
 
-    own = queries.where("own is not null").select("query", F.col("own").alias("other"))
-    first = queries.select("query").join(F.broadcast(gates.withColumnRenamed("node", "other"))).unionByName(own).unionByName(begin)  # 32 rows
-    state = kept(measured(first.distinct()).withColumn("visited", F.lit(False)))
+    names = F.broadcast(sample.select("query"))  # 64 rows
     while True:
-        front = state.where("next").select("query", F.col("other").alias("node"))
-        if front.isEmpty():
-            hits = state.join(F.broadcast(true), ["query", "other"], "left_semi").count()  # k rows for each of 64 queries
-            if hits >= RECALL * wanted:
-                break
-            if ef >= many:
-                warnings.warn(f"a search as wide as the table finds {hits} of {wanted} true neighbours", stacklevel=2)
-                break
-            ef += -(-ef // 2)
-            # what the narrower search let go is only found again from its known nodes
-            state = kept(state.select("query", "other", "d", F.lit(False).alias("visited")))
-            continue
-        met = front.join(links, "node").select("query", F.explode("others").alias("other")).distinct().join(state.select("query", "other"), ["query", "other"], "left_anti")
-        old = state.select("query", "other", "d", (F.col("visited") | F.col("next")).alias("visited"))
-        state = kept(old.unionByName(measured(met).withColumn("visited", F.lit(False))))
-        swept(spark)
-    return state.select("query", "other", "d")
+        found = descended(first.join(names, "query", "left_semi"), min(n, SAMPLE), ef)
+        hits = found.join(F.broadcast(true), ["query", "other"], "left_semi").count()  # k rows for each of 64 queries
+        if hits >= RECALL * wanted:
+            break
+        if ef >= many:
+            warnings.warn(f"a search as wide as the table finds {hits} of {wanted} true neighbours", stacklevel=2)
+            break
+        ef += -(-ef // 2)
+    return found if n <= SAMPLE else found.unionByName(descended(first.join(names, "query", "left_anti"), n - SAMPLE, ef))
 
 
 def _ranked(rows: DataFrame, queries: DataFrame, k: int, ef: int, degree: int, rounds: int | None, narrow: bool) -> DataFrame:
@@ -353,8 +361,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, ef: int = 256, degree: in
 
     Every usable row is indexed; equal vectors are one node of the graph, and of a node the ``k + 1``
     smallest ids can be results. The graph search starts from 32 nodes that all queries share, from some of the
-    cells of hashed hyperplanes that the query lies in, and from the query's own; its width starts at ``ef`` and
-    grows until it finds 93 % of the true neighbours of 64 of the queries, which are held against all nodes. Distances are computed in double precision on the vectors, of any
+    cells of hashed hyperplanes that the query lies in, and from the query's own; 64 of the queries, which are held against
+    all nodes, go first, ``ef`` wide and then wider until 93 % of their true neighbours are found, and set the width for all. Distances are computed in double precision on the vectors, of any
     scale; nearest first, equal ones by smaller id. The query itself is no candidate.
 
     Null, zero, and non-finite vectors take no part; a vector has neighbours among those of its own

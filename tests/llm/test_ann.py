@@ -74,3 +74,24 @@ def test_queries_from_outside_reach_every_cluster(spark):
     got = found(nearest_to(table, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<float>")))
     hits = sum(len(set(by_all_distances(v, q[i], None)[0]) & {x[1] for x in rows}) for i, rows in got.items())
     assert hits >= 0.9 * 600
+
+
+def test_a_query_leaves_the_search_when_it_is_done(spark, monkeypatch):
+    """Only the measuring queries are searched more than once, and none goes through a step after its last."""
+    from factloom.llm import ann
+
+    v = np.random.default_rng(6).standard_normal((1500, 32)).astype(np.float32)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    done, saved = collections.Counter(), ann.saved
+
+    def spied(df, name, *rest):
+        out = saved(df, name, *rest)
+        if name == "state":
+            done.update(r.query for r in out.groupBy("query").agg(F.max("next").alias("next")).where("not next").collect())
+        return out
+
+    monkeypatch.setattr(ann, "saved", spied)
+    got = found(nearest(table, F.col("vec_id") % 10 == 0, ef=64, degree=8, rounds=1))
+    assert len(done) == 150 and sum(n == 1 for n in done.values()) >= 150 - ann.SAMPLE
+    hits = sum(len(set(by_all_distances(v, v[q], q)[0]) & {x[1] for x in rows}) for q, rows in got.items())
+    assert hits >= 0.9 * 1500
