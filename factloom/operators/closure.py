@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.scratch import removed, written
@@ -72,23 +72,38 @@ def definition_keys(definitions: DataFrame) -> DataFrame:
     return every.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("key", "ent_file")
 
 
+def _merged(spark: SparkSession, runs: list[tuple[int, DataFrame, list[str]]]) -> list[tuple[int, DataFrame, list[str]]]:
+    """``runs`` (rank, table, paths) with every eight last ones of one rank as one of the next, so a deep graph's levels stay few tables and a row is rewritten once a rank."""
+    while len(runs) >= 8 and runs[-8][0] == runs[-1][0]:
+        paths = []
+        whole = written(reduce(DataFrame.unionByName, [df for _, df, _ in runs[-8:]]), paths=paths)
+        for _, _, old in runs[-8:]:
+            removed(spark, old)
+        runs = [*runs[:-8], (runs[-1][0] + 1, whole, paths)]
+    return runs
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, steps): all that is reached from each node over ``edges`` (src, dst) and by how few steps.
 
     Only pairs that the last round found new are joined with the edges, so a pair is made once for
     each edge that leads to it, and rounds are as many as the longest of the shortest ways. Around a cycle a node reaches itself.
+    Written pairs are small files of many rows, which Spark would broadcast, so the joins of the rounds are shuffled ones.
     """
+    spark = edges.sparkSession
     edges = written(edges.select("src", "dst").distinct())
-    delta, levels = edges.withColumn("steps", F.lit(1)), []
+    step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    delta, runs, steps = edges.withColumn("steps", F.lit(1)), [], 1
     while True:
-        delta = written(delta)
+        paths = []
+        delta = written(delta, paths=paths)
         if delta.isEmpty():
             break
-        levels.append(delta)
-        known = reduce(DataFrame.unionByName, levels).select("src", "dst")
-        step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        delta = delta.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(known, ["src", "dst"], "left_anti").withColumn("steps", F.lit(len(levels) + 1))
-    return reduce(DataFrame.unionByName, levels) if levels else delta
+        runs = [*_merged(spark, runs), (0, delta, paths)]
+        known = reduce(DataFrame.unionByName, [df for _, df, _ in runs]).select("src", "dst")
+        steps += 1
+        delta = delta.join(step.hint("merge"), "dst").select("src", F.col("next").alias("dst")).distinct().join(known.hint("merge"), ["src", "dst"], "left_anti").withColumn("steps", F.lit(steps))
+    return reduce(DataFrame.unionByName, [df for _, df, _ in runs]) if runs else delta
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -129,6 +129,17 @@ def test_rounds_of_cycles_broadcast_nothing(spark, measured):
     assert most["broadcast"] == 0
 
 
+def test_rounds_of_a_closure_broadcast_nothing_and_keep_few_tables(spark, measured):
+    chain = spark.range(19).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(0, 0), (19, 17)], "src long, dst long"))
+    place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = len(os.listdir(place))
+    got, most = measured(lambda: closure.closure(chain))
+    want = {(a, b): b - a for a in range(20) for b in range(a + 1, 20)} | {(0, 0): 1, (17, 17): 3, (18, 17): 2, (18, 18): 3, (19, 17): 1, (19, 18): 2, (19, 19): 3}
+    assert {(r.src, r.dst): r.steps for r in got} == want and len(got) == len(want)
+    assert most["broadcast"] == 0
+    assert len(os.listdir(place)) - before < 19  # levels are as many
+
+
 def test_links_are_sorted_once(spark, measured):
     told = access.Evidence()
     rows = spark.range(2_000)
