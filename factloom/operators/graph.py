@@ -87,7 +87,9 @@ def structural_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``nodes`` are (node, label); surrogate ids never enter a label, so equal graphs have equal labels.
     Neighbours' labels are gathered as counts by label, not as lists. They travel as the hash that a label which
-    is there once adds; those that are there several times get their own from a table of labels.
+    is there once adds; those that are there several times get their own from a table of labels. Tables of nodes
+    are small files of many rows, which Spark would broadcast, so their joins are shuffled ones; a node's label
+    is one row, so no key makes the hashed side large, and the edges are not sorted.
     """
     now = written(nodes.select("node", F.sha2(F.col("label"), 256).alias("label")))
     classes = now.select("label").distinct().count()
@@ -96,13 +98,13 @@ def structural_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by = both.select("by").distinct()
     once = F.xxhash64("by", "label", F.lit(1).cast("long")).alias("h")
     while True:
-        near = both.join(now.withColumnRenamed("node", "other"), "other").select("node", once).groupBy("node", "h").agg(F.count(F.lit(1)).alias("n"))
+        near = both.join(now.withColumnRenamed("node", "other").hint("shuffle_hash"), "other").select("node", once).groupBy("node", "h").agg(F.count(F.lit(1)).alias("n"))
         names = now.select("label").distinct().join(F.broadcast(by)).select(once, "by", "label")  # two kinds of each relation
         several = near.where("n > 1").join(names, "h").select("node", F.xxhash64("by", "label", "n").alias("h"))
         # an order-free sum of hashes stands for the multiset, whatever its size
         near = near.where("n = 1").select("node", "h").unionByName(several)
         near = near.groupBy("node").agg(F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("around"))
-        new = written(now.join(near, "node", "left").select("node", F.sha2(F.concat_ws("|", "label", F.coalesce("around", F.lit(""))), 256).alias("label")))
+        new = written(now.join(near.hint("merge"), "node", "left").select("node", F.sha2(F.concat_ws("|", "label", F.coalesce("around", F.lit(""))), 256).alias("label")))
         n = new.select("label").distinct().count()
         now = new
         if n == classes:

@@ -113,6 +113,29 @@ def test_rounds_of_labels_make_no_edges(spark):
     assert made.value == 2 * 3_000  # once for each direction
 
 
+def _with_broadcasts(spark, make):
+    """Collects a query; its rows and the most rows that any table had which it broadcast."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {e.executionId() for e in _listed(store.executionsList())}
+    got = make().collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = [0]
+    for e in _listed(store.executionsList()):
+        if e.executionId() not in before:
+            values = store.executionMetrics(e.executionId())
+            metrics = [m for node in _listed(store.planGraph(e.executionId()).allNodes()) if node.name() == "BroadcastExchange" for m in _listed(node.metrics())]
+            rows += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return got, max(rows)
+
+
+def test_rounds_of_labels_broadcast_no_nodes(spark):
+    edges = _star(spark)
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("label", F.lit("x"))
+    got, most = _with_broadcasts(spark, lambda: graph.structural_labels(nodes, edges))
+    assert len({r.label for r in got}) == 4 and len(got) == 3_007
+    assert most < 100  # two kinds of each relation, and these for each label
+
+
 def test_a_last_level_is_not_written(spark):
     facts = spark.createDataFrame([(1, "a", "b", "A", "VERIFIED", 1.0), (2, "b", "c", "A", "VERIFIED", 1.0)], "fact_id long, source string, target string, axis string, assertion_status string, confidence double")
     place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
