@@ -136,6 +136,17 @@ def test_rounds_of_labels_broadcast_no_nodes(spark):
     assert most < 100  # two kinds of each relation, and these for each label
 
 
+def test_class_sizes_broadcast_no_nodes(spark, tmp_path):
+    from factloom.plans import QUERIES
+
+    spark.range(2_000).select(F.col("id").alias("p_partkey"), F.lit("STEEL").alias("p_type")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(3).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(6_000).select((F.col("id") % 3).alias("l_suppkey"), (F.col("id") % 2_000).alias("l_partkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, most = _with_broadcasts(spark, lambda: QUERIES["structural_class_sizes"](spark, str(tmp_path)))
+    assert {(r.n_nodes, r.n_classes) for r in got} == {(3, 1), (2_000, 1)}
+    assert most < 100
+
+
 def test_a_last_level_is_not_written(spark):
     facts = spark.createDataFrame([(1, "a", "b", "A", "VERIFIED", 1.0), (2, "b", "c", "A", "VERIFIED", 1.0)], "fact_id long, source string, target string, axis string, assertion_status string, confidence double")
     place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
