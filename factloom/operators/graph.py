@@ -9,8 +9,8 @@ from factloom.operators.scratch import written
 from factloom.operators.windows import top_n
 
 
-def steps(edges: DataFrame, cap: int, order: list[Column], incoming: bool = True, outgoing: bool = True, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, other, relation, direction, ...) with at most ``cap`` edges of each node and direction, of ``nodes`` alone if they are given."""
+def steps(edges: DataFrame, cap: int | None, order: list[Column], incoming: bool = True, outgoing: bool = True, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, other, relation, direction, ...) with at most ``cap`` edges of each node and direction, all without one, of ``nodes`` alone if they are given."""
     parts = []
     if outgoing:
         parts.append(edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "relation", "weight", F.lit("out").alias("direction")))
@@ -18,21 +18,21 @@ def steps(edges: DataFrame, cap: int, order: list[Column], incoming: bool = True
         parts.append(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "relation", "weight", F.lit("in").alias("direction")))
     parts = parts if nodes is None else [part.join(nodes, "node", "left_semi") for part in parts]
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return top_n(both, ["node", "direction"], order, cap, "_rank").drop("_rank")
+    return both if cap is None else top_n(both, ["node", "direction"], order, cap, "_rank").drop("_rank")
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int, cap: int = 25, least: float = 0.0, incoming: bool = True, outgoing: bool = True) -> DataFrame:
+def impact(edges: DataFrame, seeds: DataFrame, depth: int, cap: int | None = 25, least: float = 0.0, incoming: bool = True, outgoing: bool = True) -> DataFrame:
     """Breadth-first impact of ``seeds`` (node) over ``edges`` (src, dst, relation, weight).
 
     Columns: node, depth, relation, direction, origin; seeds have depth 0 and nulls. Edges under
     ``least`` are left out; of each node at most ``cap`` in each direction are followed, the heaviest
-    first, then by relation and other end. A node is visited once, at its least depth; of several
+    first, then by relation and other end; without a cap all are. A node is visited once, at its least depth; of several
     ways the first is outgoing before incoming, then by relation and origin. Each level ranks the edges
     of its frontier alone, so a few seeds never sort the whole graph; ``edges`` are read once a level
     and direction, and should be written before if they are dear to make.
     """
     ok = F.coalesce(F.col("weight"), F.lit(0.0)) >= least
-    # edges under the least come last and go after the rank, so nothing stands between the frontier and the edges' own keys
+    # edges under the least come last and go after the ranks, so nothing stands between the frontier and the edges' own keys
     order = [F.desc(ok), F.desc("weight"), F.asc("relation"), F.asc("other")]
     text = F.lit(None).cast("string")
     start = written(seeds.select("node").distinct())
@@ -40,11 +40,11 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int, cap: int = 25, least:
     seen = start.select("node", F.lit(0).alias("depth"), text.alias("relation"), text.alias("direction"), F.lit(None).cast(kind).alias("origin"))
     frontier = start
     for level in range(1, depth + 1):
-        hops = steps(edges, cap, order, incoming, outgoing, frontier).where(ok)
-        met = hops.select(F.col("other").alias("node"), "relation", "direction", F.col("node").alias("origin"))
+        hops = steps(edges, cap, order, incoming, outgoing, frontier)
+        met = hops.select(F.col("other").alias("node"), "relation", "direction", F.col("node").alias("origin"), ok.alias("_ok"))
         new = met.join(seen.select("node"), "node", "left_anti")
-        first = Window.partitionBy("node").orderBy(F.when(F.col("direction") == "out", 0).otherwise(1), "relation", "origin")
-        new = new.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("node", F.lit(level).alias("depth"), "relation", "direction", "origin")
+        first = Window.partitionBy("node").orderBy(F.desc("_ok"), F.when(F.col("direction") == "out", 0).otherwise(1), "relation", "origin")
+        new = new.withColumn("_r", F.row_number().over(first)).where("_r = 1 and _ok").select("node", F.lit(level).alias("depth"), "relation", "direction", "origin")
         new = written(new)
         if new.isEmpty():
             break
@@ -58,9 +58,9 @@ def inner_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "relation").distinct()
 
 
-def expansion_risk(found: DataFrame, n: int = 20) -> DataFrame:
-    """The nodes from which most others were reached: origin, direction, n_reached."""
-    return found.where("depth > 0").groupBy("origin", "direction").agg(F.count(F.lit(1)).alias("n_reached")).orderBy(F.desc("n_reached"), "origin", "direction").limit(n)
+def expansion_risk(found: DataFrame) -> DataFrame:
+    """The nodes from which others were reached, those with most first: origin, direction, n_reached."""
+    return found.where("depth > 0").groupBy("origin", "direction").agg(F.count(F.lit(1)).alias("n_reached")).orderBy(F.desc("n_reached"), "origin", "direction")
 
 
 def incoming_links(edges: DataFrame, seeds: DataFrame, depth: int, cap: int, relations: list[str]) -> DataFrame:

@@ -21,6 +21,10 @@ l2 AS (SELECT node, relation, direction, origin FROM (SELECT *, row_number() OVE
 f AS (SELECT node, 0 AS depth, NULL AS relation, NULL AS direction, NULL AS origin FROM l0 UNION ALL SELECT node, 1, relation, direction, origin FROM l1 UNION ALL SELECT node, 2, relation, direction, origin FROM l2)"""
 
 
+#: The same, every edge followed.
+_ALL_EDGES = _EDGES.replace(" WHERE r <= 3", "")
+
+
 def supply(t: Tables) -> DataFrame:
     pairs = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return pairs.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("SUPPLIES").alias("relation"), "weight")
@@ -41,9 +45,9 @@ def impact_edges(t: Tables) -> DataFrame:
     return graph.inner_edges(edges, graph.impact(edges, seeds(t), 2, CAP))
 
 
-@query(f"WITH {_EDGES} SELECT origin, direction, count(*) AS n_reached FROM f WHERE depth > 0 GROUP BY ALL ORDER BY n_reached DESC, origin, direction LIMIT 20")
+@query(f"WITH {_ALL_EDGES} SELECT origin, direction, count(*) AS n_reached FROM f WHERE depth > 0 GROUP BY ALL ORDER BY n_reached DESC, origin, direction")
 def impact_risk(t: Tables) -> DataFrame:
-    return graph.expansion_risk(graph.impact(supply(t), seeds(t), 2, CAP))
+    return graph.expansion_risk(graph.impact(supply(t), seeds(t), 2, None))
 
 
 @query("""WITH e AS (SELECT DISTINCT 'S' || l_suppkey AS src, 'P' || l_partkey AS dst FROM lineitem UNION SELECT DISTINCT 'P' || l_partkey, 'S' || ((l_suppkey + 1) % 10) FROM lineitem WHERE l_quantity > 49),

@@ -63,6 +63,24 @@ def test_impact_handles_cycles_self_edges_and_caps(spark):
     assert rows(shuffled) == rows(graph.impact(edges.coalesce(1), seeds, 3))
 
 
+def test_expansion_risk_has_every_origin(spark):
+    edges = spark.createDataFrame([(f"a{i:02}", f"b{i:02}-{j}", "X", 1.0) for i in range(30) for j in range(1 + i % 2)], "src string, dst string, relation string, weight double")
+    got = [(r.origin, r.direction, r.n_reached) for r in graph.expansion_risk(graph.impact(edges, edges.select(F.col("src").alias("node")), 1)).collect()]
+    assert got == [(f"a{i:02}", "out", 2) for i in range(1, 30, 2)] + [(f"a{i:02}", "out", 1) for i in range(0, 30, 2)]
+
+
+def test_impact_risk_follows_every_edge(spark, tmp_path):
+    from factloom.plans import QUERIES, SQL
+
+    spark.range(40).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = [(s, p) for s in range(5) for p in range(10 * s, 10 * s + 10)] + [(5 + p % 35, p) for p in range(50)]
+    spark.createDataFrame(pairs, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in QUERIES["impact_risk"](spark, str(tmp_path)).collect()]
+    assert [x for x in got if x[1] == "out"] == [(f"S{s}", "out", 10) for s in range(5)]
+    assert len(got) == 40 and sum(n for _, direction, n in got if direction == "in") == 35
+    assert "r <= 3" not in SQL["impact_risk"] and "r <= 3" in SQL["bfs_impact"] and "r <= 3" in SQL["impact_edges"]
+
+
 def test_structural_labels_do_not_see_ids(spark):
     schema = "src string, dst string, relation string"
     one = spark.createDataFrame([("1", "2", "r"), ("2", "3", "r")], schema)
