@@ -20,7 +20,7 @@ r AS (SELECT src, dst, min(steps) AS steps FROM c GROUP BY ALL)"""
 def _edges(t: Tables) -> DataFrame:
     p = F.col("p_partkey")
     half = t.part.where("p_partkey > 0").select(p.alias("src"), F.floor(p / 2).alias("dst"))
-    mate = t.part.where("p_size > 40").select(p.alias("src"), p.bitwiseXOR(F.lit(1).cast("long")).alias("dst")).join(t.part.select(p.alias("dst")), "dst", "left_semi").select("src", "dst")
+    mate = t.part.where("p_size > 40").select(p.alias("src"), p.bitwiseXOR(F.lit(1).cast("long")).alias("dst")).join(t.part.select(p.alias("dst")).hint("merge"), "dst", "left_semi").select("src", "dst")
     return half.unionByName(mate).distinct()
 
 

@@ -147,6 +147,16 @@ def test_class_sizes_broadcast_no_nodes(spark, tmp_path):
     assert most < 100
 
 
+def test_include_edges_broadcast_no_parts(spark, tmp_path):
+    from factloom.plans import includes
+    from factloom.plans.registry import Tables
+
+    spark.range(500).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    got, most = _with_broadcasts(spark, lambda: includes._edges(Tables(spark, str(tmp_path))))
+    assert {(r.src, r.dst) for r in got} == {(i, i // 2) for i in range(1, 500)} | {(i, i ^ 1) for i in range(500) if i % 50 >= 40}
+    assert most == 0
+
+
 def test_a_last_level_is_not_written(spark):
     facts = spark.createDataFrame([(1, "a", "b", "A", "VERIFIED", 1.0), (2, "b", "c", "A", "VERIFIED", 1.0)], "fact_id long, source string, target string, axis string, assertion_status string, confidence double")
     place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
